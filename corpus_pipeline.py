@@ -1,2 +1,8 @@
 """A corpus from raw documents, in five stages."""
+
 STAGES = []
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    raise NotImplementedError
