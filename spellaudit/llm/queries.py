@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spellaudit.llm import bpe, decontaminate, media, near_dups, repeats, sharding
+from spellaudit.llm import bpe, decontaminate, lines, media, near_dups, repeats, sharding
 from spellaudit.llm.common import table
 
 #: Places for rows of op8.
@@ -15,6 +15,29 @@ SHARDS = [f"shard-{i:03d}" for i in range(64)]
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+SQL_op1_line_dedup = f"""
+WITH e AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS place, unnest(string_split(text, chr(10))) AS raw
+  FROM documents WHERE text IS NOT NULL),
+l AS (SELECT *, CASE WHEN length(trim(raw, ' ' || chr(9) || chr(13))) >= {lines.MIN_CHARS} THEN trim(raw, ' ' || chr(9) || chr(13)) END AS line FROM e),
+d AS (SELECT line, length(line) AS n, min({{'d': doc_id, 'p': place}}) AS f FROM l WHERE line IS NOT NULL GROUP BY line),
+near AS (
+  SELECT DISTINCT b.line FROM d a JOIN d b ON a.n BETWEEN b.n - 1 AND b.n + 1 AND a.f < b.f
+  AND (left(a.line, a.n // 2 - 1) = left(b.line, a.n // 2 - 1) OR right(a.line, a.n // 2 - 1) = right(b.line, a.n // 2 - 1))
+  AND levenshtein(a.line, b.line) <= 1),
+m AS (SELECT l.*, l.line IS NOT NULL AND (near.line IS NOT NULL OR {{'d': doc_id, 'p': place}} > d.f) AS gone
+  FROM l LEFT JOIN d ON l.line = d.line LEFT JOIN near ON l.line = near.line)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(raw, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL
+"""
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
