@@ -7,6 +7,10 @@ level. A node of one document ends. In a node of up to ``small`` documents all a
 to ``depth``. Two documents of similarity 0.85 meet with probability 1 - (1 - 0.85**depth)**trees at least: 0.9999 for
 the defaults, nearly 1 where nodes are small early.
 
+Pairs that cannot be similar are left out within the joins: a document also carries, for each of 1,024 buckets, whether
+it has an odd number of hashes there. Each bucket in which two documents differ takes a hash that one of them alone has,
+so too many such buckets exclude the pair; none that reaches the similarity is lost.
+
 Links are confirmed on full sets in two rounds, since what a round has connected needs no further comparing:
 first each member of a node with the node's first document, then the pairs of a node whose ends are still apart.
 Components come from repeated joins of the links to the least label (with jumps), so no group is gathered anywhere.
@@ -23,13 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spellaudit.llm.common import written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE, TREES, DEPTH, SMALL = 5, 16, 5, 24
+#: Longs of the parity sketch, 64 buckets each.
+PARITY = 16
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -56,7 +62,7 @@ def minwise(tokens: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """doc_id, n_shingles, whole (hash of the set, two longs) and the paths, trees x depth longs each the node's name."""
+    """doc_id, n_shingles, whole (hash of the set), nodes (trees x depth names) and odd (the parity sketch)."""
     kind = dict(docs.dtypes)["doc_id"]
     seeds = _seeds(trees * depth)
     mixer = np.uint64(0x9E3779B97F4A7C15)
@@ -71,15 +77,17 @@ def signatures(docs: DataFrame, *, trees: int = TREES, depth: int = DEPTH) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, whole, nodes = [], [], []
+            n, whole, nodes, odd = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 n.append(len(s))
                 whole.append(xxhash.xxh3_128_digest(s.tobytes()))
                 nodes.append(paths(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "whole", "nodes"])
+                count = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * PARITY - 1), minlength=64 * PARITY)
+                odd.append(np.packbits(count & 1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "whole", "nodes", "odd"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, whole binary, nodes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, whole binary, nodes array<long>, odd array<long>")
 
 
 def candidate_nodes(sets: DataFrame, *, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
@@ -98,6 +106,12 @@ def candidate_nodes(sets: DataFrame, *, trees: int = TREES, depth: int = DEPTH,
     return ended
 
 
+def possible(a: str, b: str, percent: int) -> Column:
+    """Whether the structs a and b (n, odd) may be of sets that reach the similarity; their difference is d at least."""
+    d = sum((F.bit_count(F.col(f"{a}.odd")[i].bitwiseXOR(F.col(f"{b}.odd")[i])) for i in range(PARITY)), F.lit(0))
+    return d * (100 + percent) <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, *, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     kind = dict(pairs.dtypes)["a"]
@@ -141,19 +155,20 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, trees: int = TREES, d
     filled = marks.filter("n_shingles > 0")
     # ties of equal sets go to the least id, which stands for all
     leads = filled.groupBy("whole").agg(F.min("doc_id").alias("lead"))
-    sets = filled.join(leads, (filled.whole == leads.whole) & (filled.doc_id == leads.lead), "left_semi").select("doc_id", "nodes")
-    nodes = written(candidate_nodes(sets, trees=trees, depth=depth, small=small), name="members")
-    firsts = nodes.groupBy("node").agg(F.min("a").alias("b"))
-    star = nodes.join(firsts, "node").filter("a != b").select("a", "b").distinct()
+    sets = filled.join(leads, (filled.whole == leads.whole) & (filled.doc_id == leads.lead), "left_semi").select("doc_id", "nodes", F.struct(F.col("n_shingles").alias("n"), "odd").alias("set"))
+    found = candidate_nodes(sets, trees=trees, depth=depth, small=small)
+    nodes = written(found.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a"), name="members")
+    firsts = nodes.groupBy("node").agg(F.min(F.struct("a", "sa")).alias("first")).select("node", F.col("first.a").alias("b"), F.col("first.sa").alias("sb"))
+    star = nodes.join(firsts, "node").filter(F.col("a") != F.col("b")).filter(possible("sa", "sb", percent)).select("a", "b").distinct()
     links = written(confirmed(star, docs, percent=percent), name="confirmed")
     near = components(links)
     apart = nodes.join(near.select(F.col("doc").alias("a"), "label"), "a", "left").withColumn("label", F.coalesce("label", "a"))
     lead = apart.groupBy("node").agg(F.min(F.struct("a", "label")).label.alias("first"), F.countDistinct("label").alias("groups")).filter("groups > 1").select("node", "first")
     # members joined to the node's first document need comparing only with those that are not
     open_ = written(apart.join(lead, "node"), name="apart")
-    rest = open_.filter("label != first").select("node", F.col("a").alias("b"), F.col("label").alias("other"))
+    rest = open_.filter("label != first").select("node", F.col("a").alias("b"), F.col("label").alias("other"), F.col("sa").alias("sb"))
     starred = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = open_.join(rest, "node").filter("label != other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
+    pairs = open_.join(rest, "node").filter((F.col("label") != F.col("other")) & possible("sa", "sb", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
     more = written(confirmed(written(pairs, name="pairs"), docs, percent=percent), name="confirmed")
     final = near if more.isEmpty() else components(links.unionByName(more))
     named = leads.join(final, leads.lead == final.doc, "left").select("whole", F.coalesce("label", "lead").alias("component"))
