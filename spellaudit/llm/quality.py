@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from spellaudit.llm.common import written
 
 LETTERS = re.compile(r"[^\W\d_]+")
-SAMPLE, MOST_WEIGHTS = 20_000, 65_536
+SAMPLE, MOST_WEIGHTS = 6_000, 65_536
 FAULTS = ("junk", "toxic")
 #: Votes.
 SOUND, FAULTY, NOTHING = 0, 1, 2
