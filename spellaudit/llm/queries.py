@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spellaudit.llm import bpe, brown, decontaminate, lines, media, near_dups, quality, repeats, sharding
+from spellaudit.llm import bpe, brown, chat, decontaminate, lines, media, near_dups, quality, repeats, sharding
 from spellaudit.llm.common import table
 
 #: Places for rows of op8.
@@ -59,6 +59,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.calls_of_turns(table(spark, sf_dir, "conversations"))
+    return chat.link_calls(calls, results, chat.SCHEMAS)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sharding.assign(docs.select("doc_id", "source"), ["source", "doc_id"], SHARDS)
