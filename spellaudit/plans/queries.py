@@ -1,13 +1,270 @@
-"""Registered queries."""
+"""Registered queries over the driver's tables, and the SQL that gives the same rows.
 
+The lexicon is derived from the documents: words of plain lines in at least LEAST_FILES of them.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+import string
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spellaudit.functions import keys, similarity
+from spellaudit.functions.scan import scan_lines
+from spellaudit.functions.words import normalize, plain_tokens
+from spellaudit.operators import check, correct, directives, select, suggest
+from spellaudit.options import Options
+from spellaudit.sources.corpus import from_documents, lines, parse_words
 
-def unknown_words(spark, sf_dir):
-    raise NotImplementedError
+LEAST_FILES = 5
+#: Words of the data that stand for the directives' marker and actions, as the data has no directives.
+ON, OFF, ONE = " and ", " the ", " with "
+RULES = ("*.html", "/en/", "src1?", "de/src2/*.txt")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    host = F.regexp_replace(F.regexp_replace("url", r"^https?://", ""), r"[?#].*$", "")
+    return pages.select(F.concat(host, F.lit("/"), F.col("page_id").cast("string"), F.element_at(F.array(*map(F.lit, (".html", ".rb", ".js", ".png", ".css"))), (F.col("page_id") % 5 + 1).cast("int"))).alias("path"), F.col("html").alias("content"))
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_tokens(lines(_documents(spark, sf_dir)))
+
+
+def _lexicon(tokens: DataFrame) -> DataFrame:
+    each = tokens.select(normalize(F.col("text")).alias("word"), "path").distinct()
+    return each.groupBy("word").agg(F.count("*").alias("files")).filter(F.col("files") >= LEAST_FILES).select("word", "files")
+
+
+def line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(_documents(spark, sf_dir))
+
+
+def plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir).groupBy("path", "line_no", "text").agg(F.count("*").alias("n"))
+
+
+def normalized_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir).select(normalize(F.col("text")).alias("norm")).distinct()
+
+
+def derived_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexicon(_tokens(spark, sf_dir))
+
+
+def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _tokens(spark, sf_dir)
+    return check.unknown_counts(tokens, _lexicon(tokens))
+
+
+def _misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _tokens(spark, sf_dir)
+    return check.misses(tokens, _lexicon(tokens))
+
+
+def miss_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check.summary(_documents(spark, sf_dir), _misses(spark, sf_dir))
+
+
+def miss_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check.by_path(_misses(spark, sf_dir))
+
+
+def harvested_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check.harvest(_misses(spark, sf_dir))
+
+
+def added_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _tokens(spark, sf_dir)
+    lexicon = _lexicon(tokens).select("word", F.lit("derived").alias("wordlist"))
+    return check.add_words(lexicon, check.harvest(check.misses(tokens, lexicon)), "project")
+
+
+def project_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown words by file where each language's list is of its own files, and one list of all: words of English files by language lists."""
+    docs = _documents(spark, sf_dir)
+    tokens = plain_tokens(lines(docs))
+    lang = F.substring_index("path", "/", 1)
+    each = tokens.select(normalize(F.col("text")).alias("word"), lang.alias("wordlist"), "path").distinct()
+    lexicon = each.groupBy("word", "wordlist").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_FILES).select("word", "wordlist")
+    files = docs.select("path", F.array(lang).alias("wordlists"))
+    return check.misses(tokens, lexicon, files).groupBy("path", "norm").agg(F.count("*").alias("n"))
+
+
+def selected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.select_files(_pages(spark, sf_dir)).select("path")
+
+
+def rule_selected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.select_files(_documents(spark, sf_dir), root_rules=RULES).select("path")
+
+
+def nested_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a folder's own rules: the rules come from the data, one of a folder for each of its digits."""
+    docs = _documents(spark, sf_dir)
+    folders = docs.select(F.regexp_extract("path", "^(.*/)[^/]*$", 1).alias("prefix")).distinct()
+    rules = folders.select("prefix", F.concat(F.lit("*"), F.substring(F.regexp_replace("prefix", "[^0-9]", ""), 1, 1), F.lit(".txt")).alias("pattern")).filter("pattern != '*.txt'")
+    return select.nested_excluded(docs, rules)
+
+
+def file_wordlists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("path", F.array_join(select.wordlists(Options()), ",").alias("wordlists"))
+
+
+def directive_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directives.gate(lines(_documents(spark, sf_dir)), "", disable=OFF, enable=ON, one=ONE)
+
+
+def key_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keys.candidates(lines(_documents(spark, sf_dir)))
+
+
+def _classes(spans: DataFrame) -> DataFrame:
+    """A class for each span by its form: of a model's training data, where none is given."""
+    kind = F.when(F.col("span").rlike("^[0-9A-Fa-f-]*$"), "hex").when(F.col("span").rlike("^[0-9a-z]*$"), "lower36").when(F.col("span").rlike("^[0-9A-Z]*$"), "upper36").otherwise("base64")
+    return spans.withColumn("class", F.concat(F.when(F.length("span") >= 20, "key_").otherwise("not_key_"), kind))
+
+
+def key_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = key_candidates(spark, sf_dir).select("span")
+    labelled = _classes(keys.feature_rows(spans)).select("class", "features")
+    return keys.classify(spans, keys.fit_params(labelled))
+
+
+def key_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = keys.feature_rows(key_candidates(spark, sf_dir).select("span"))
+    at = {f: i for i, f in enumerate(keys.FEATURES)}
+    return found.select("span", *(F.round(F.col("features")[at[f]], 6).alias(name) for f, name in (("length", "length"), ("hex", "hex"), ("mean_alpha", "mean_alpha"), ("variance_digit", "variance_digit"), ("vowel_consonant_ratio", "vowel_ratio"), ("alnum_chunks", "alnum_chunks"), ("q", "difference_q"))))
+
+
+def scanned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words by the scanner over all lines of pages: URLs, entities and tags."""
+    return scan_lines(lines(_pages(spark, sf_dir)), skips=True).groupBy("path", "kind", "case_kind").agg(F.count("*").alias("n"))
+
+
+def scanned_plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanner on plain lines gives the words of the plain route."""
+    from spellaudit.functions.words import is_plain
+
+    found = scan_lines(lines(_documents(spark, sf_dir)).filter(is_plain(F.col("line"))))
+    return found.groupBy("path", "line_no", "text").agg(F.count("*").alias("n"))
+
+
+def _scanned_misses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    corpus = _corpus_of_parts(spark, sf_dir)
+    tokens = scan_lines(lines(corpus))
+    words = tokens.select(normalize(F.col("text")).alias("word"), "path").distinct()
+    lexicon = words.groupBy("word").agg(F.count("*").alias("files")).filter(F.col("files") >= LEAST_FILES)
+    return corpus, check.misses(tokens.drop("kind"), lexicon), lexicon
+
+
+def _corpus_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts and the names of parts as a corpus with few distinct words."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.concat(F.lit("bench/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string"), F.lit(".txt")).alias("path"), F.col("p_name").alias("content"))
+    return bench.unionByName(part)
+
+
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found, lexicon = _scanned_misses(spark, sf_dir)
+    return suggest.suggestions(found, lexicon).select("norm", "case_kind", F.array_join("suggestions", ",").alias("suggestions"))
+
+
+def autocorrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus, found, lexicon = _scanned_misses(spark, sf_dir)
+    return correct.apply_fixes(corpus, correct.top_fixes(found, suggest.suggestions(found, lexicon)))
+
+
+def decided_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misses after decisions from the data: words of four letters are skipped, of five replaced, of six added."""
+    found = _misses(spark, sf_dir).withColumn("col", F.lit(0))
+    size = F.length("norm")
+    action = F.when(size == 4, "skip").when(size == 5, "replace").when(size == 6, "add")
+    decisions = found.select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("int").alias("col"), "norm", action.alias("action"), F.reverse("norm").alias("value")).filter("action is not null").distinct()
+    return correct.decide(found, decisions).groupBy("action").agg(F.count("*").alias("n"), F.countDistinct("norm").alias("words"))
+
+
+def miss_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context of the first place of each unknown word in its line, on plain lines."""
+    numbered = lines(_documents(spark, sf_dir))
+    found = _misses(spark, sf_dir).select("path", "line_no", "text").distinct()
+    at = found.join(numbered, ["path", "line_no"]).select("path", "line_no", (F.instr("line", F.col("text")) - 1).alias("col"), "text")
+    return check.with_context(at, numbered).select("place", "before", "word", "after")
+
+
+def close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of part names with each other: similarity and edit distance."""
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
+
+    def run(frames):
+        for f in frames:
+            f["jw"] = [round(similarity.jaro_winkler(a, b, floor_transpositions=True), 6) for a, b in zip(f["a"], f["b"], strict=True)]
+            f["within_one"] = [similarity.edit_distance(a, b) <= 1 for a, b in zip(f["a"], f["b"], strict=True)]
+            yield f
+
+    first = F.substring("word", 1, 1)
+    left, right = names.select(first.alias("k"), F.col("word").alias("a")), names.select(first.alias("k"), F.col("word").alias("b"))
+    return left.join(right, "k").filter("a < b").select("a", "b").mapInPandas(run, "a string, b string, jw double, within_one boolean")
+
+
+def language_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word lists parsed from texts: each language's documents as a list."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return parse_words(docs.select(F.coalesce("lang", F.lit("-")).alias("wordlist"), F.col("text").alias("content"))).distinct()
+
+
+_RUNS = "|".join(c * 3 for c in string.ascii_letters)
+_DOCS = "docs AS (SELECT coalesce(lang,'-') || '/' || coalesce(source,'-') || '/' || doc_id || '.txt' AS path, text AS content FROM documents)"
+_LINES = f"{_DOCS}, lines AS (SELECT path, CAST(generate_subscripts(string_split(content, chr(10)), 1) AS INTEGER) AS line_no, unnest(string_split(content, chr(10))) AS line FROM docs WHERE content NOT LIKE '%' || chr(0) || '%')"
+_TOKENS = f"{_LINES}, plain AS (SELECT * FROM lines WHERE regexp_full_match(line, '[A-Za-z ,.]*') AND NOT regexp_matches(line, '{_RUNS}|[A-Z]{{2}}|[aA][bB][cC]')), tokens AS (SELECT * FROM (SELECT path, line_no, unnest(regexp_extract_all(line, '[A-Z]?[a-z]+')) AS text FROM plain) WHERE length(text) >= 3)"
+_LEXICON = f"{_TOKENS}, lexicon AS (SELECT lower(text) AS word, count(DISTINCT path) AS files FROM tokens GROUP BY 1 HAVING count(DISTINCT path) >= {LEAST_FILES})"
+_MISSES = f"{_LEXICON}, misses AS (SELECT t.*, lower(text) AS norm FROM tokens t ANTI JOIN lexicon l ON lower(t.text) = l.word)"
+_PAGES = "pg AS (SELECT regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') || '/' || page_id || ['.html','.rb','.js','.png','.css'][page_id % 5 + 1] AS path, html AS content FROM pages)"
+_SPANS = f"{_LINES}, runs AS (SELECT path, line_no, unnest(regexp_extract_all(line, '[A-Za-z0-9][A-Za-z0-9_/+-]*=*')) AS span FROM lines), spans AS (SELECT * FROM runs WHERE regexp_matches(regexp_replace(span, '[-_/+=]', '', 'g'), '[A-Za-z][0-9]+[A-Za-z]|[0-9][A-Za-z]+[0-9]') AND length(span) >= 6 AND (length(span) > 200 OR length(regexp_replace(span, '[^A-Za-z]', '', 'g')) >= 3))"
+
+SQL = {
+    "line_split": f"WITH {_LINES} SELECT path, line_no, line FROM lines",
+    "plain_words": f"WITH {_TOKENS} SELECT path, line_no, text, count(*) AS n FROM tokens GROUP BY ALL",
+    "scanned_plain_words": f"WITH {_TOKENS} SELECT path, line_no, text, count(*) AS n FROM tokens GROUP BY ALL",
+    "normalized_vocab": f"WITH {_TOKENS} SELECT DISTINCT lower(text) AS norm FROM tokens",
+    "derived_lexicon": f"WITH {_LEXICON} SELECT word, files FROM lexicon",
+    "unknown_words": f"WITH {_MISSES} SELECT norm, count(*) AS occurrences, count(DISTINCT path) AS files FROM misses GROUP BY norm",
+    "miss_summary": f"WITH {_MISSES} SELECT (SELECT count(*) FROM docs) AS files_checked, (SELECT count(*) FROM misses) AS misses_found",
+    "miss_by_path": f"WITH {_MISSES} SELECT path, count(*) AS misses FROM misses GROUP BY path",
+    "harvested_words": f"WITH {_MISSES} SELECT DISTINCT norm AS word FROM misses",
+    "added_words": f"WITH {_MISSES} SELECT word, 'derived' AS wordlist FROM lexicon UNION SELECT norm, 'project' FROM misses",
+    "project_misses": f"WITH {_TOKENS}, t AS (SELECT path, split_part(path, '/', 1) AS lang, lower(text) AS norm FROM tokens), lex AS (SELECT norm, lang FROM t GROUP BY 1, 2 HAVING count(DISTINCT path) >= {LEAST_FILES}) SELECT path, norm, count(*) AS n FROM t ANTI JOIN lex USING (norm, lang) GROUP BY path, norm",
+    "selected_files": f"WITH {_PAGES} SELECT path FROM pg WHERE NOT path LIKE '%.png'",
+    "rule_selected_files": f"WITH {_DOCS} SELECT path FROM docs WHERE NOT (path LIKE 'en/%' OR regexp_matches(path, '/src1[^/]/') OR regexp_full_match(path, 'de/src2/[^/]*\\.txt'))",
+    "nested_rules": f"WITH {_DOCS} SELECT DISTINCT path FROM docs WHERE regexp_extract(split_part(path, '/', 2), '[0-9]') <> '' AND path LIKE '%' || regexp_extract(split_part(path, '/', 2), '[0-9]') || '.txt'",
+    "file_wordlists": f"WITH {_PAGES} SELECT path, 'english,english/US' || CASE WHEN path LIKE '%.rb' THEN ',ruby,html' WHEN path LIKE '%.html' THEN ',html,javascript,xml' WHEN path LIKE '%.js' THEN ',html,javascript' WHEN path LIKE '%.css' THEN ',html,css' ELSE '' END || ',tool_terms' AS wordlists FROM pg",
+    "directive_gate": f"WITH {_LINES}, e AS (SELECT *, CASE WHEN contains(line, '{ON}') THEN 'E' WHEN contains(line, '{OFF}') AND NOT contains(line, '{ONE}') THEN 'D' END AS ev FROM lines), s AS (SELECT *, last_value(ev IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st FROM e) SELECT path, line_no, line FROM s WHERE coalesce(st, 'E') <> 'D' AND NOT contains(line, '{ONE}')",
+    "key_candidates": f"WITH {_SPANS} SELECT path, line_no, span FROM spans",
+    "key_features": f"""WITH {_SPANS}, d AS (SELECT DISTINCT span FROM spans),
+      f AS (SELECT span, CAST(length(span) AS DOUBLE) AS length, regexp_full_match(span, '[0-9A-Fa-f-]*') AS is_hex, regexp_full_match(span, '[0-9a-z]*') AS is_low, regexp_full_match(span, '[0-9A-Z]*') AS is_up,
+        list_transform(regexp_extract_all(span, '[A-Za-z]+'), lambda x: length(x)) AS al, list_transform(regexp_extract_all(span, '[0-9]+'), lambda x: length(x)) AS di, length(regexp_replace(span, '[^aeiouAEIOU]', '', 'g')) AS v,
+        length(regexp_replace(span, '[^A-Za-z]|[aeiouAEIOUxX]', '', 'g')) AS c, CAST(len(regexp_extract_all(span, '[A-Za-z0-9]+')) AS DOUBLE) AS alnum_chunks, length(regexp_replace(span, '[^q]', '', 'g')) AS q FROM d)
+      SELECT span, length, CAST(is_hex AS DOUBLE) AS hex, round(list_avg(al), 6) AS mean_alpha, round(list_var_pop(di), 6) AS variance_digit, round(CASE WHEN c > 0 THEN v / c ELSE v END, 6) AS vowel_ratio, alnum_chunks,
+        round(abs(q / length - length / CASE WHEN is_hex THEN 16 WHEN is_low THEN 36 WHEN is_up THEN 36 ELSE 64 END), 6) AS difference_q FROM f""",
+    "decided_misses": f"WITH {_MISSES} SELECT CASE length(norm) WHEN 4 THEN 'skip' WHEN 5 THEN 'replace' WHEN 6 THEN 'add' END AS action, count(*) AS n, count(DISTINCT norm) AS words FROM misses GROUP BY 1",
+    "miss_context": f"WITH {_MISSES}, m AS (SELECT DISTINCT path, line_no, text FROM misses), p AS (SELECT m.*, line, instr(line, text) - 1 AS col FROM m JOIN lines USING (path, line_no)) SELECT path || ':' || line_no || ':' || col AS place, ltrim(left(line, col), ' ' || chr(9)) AS before, text AS word, rtrim(substr(line, col + length(text) + 1), ' ' || chr(9) || chr(13) || chr(10)) AS after FROM p",
+    "close_pairs": "WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS x FROM part) SELECT a.x AS a, b.x AS b, round(jaro_winkler_similarity(a.x, b.x), 6) AS jw, damerau_levenshtein(a.x, b.x) <= 1 AS within_one FROM w a JOIN w b ON left(a.x, 1) = left(b.x, 1) AND a.x < b.x",
+    "language_words": "SELECT DISTINCT word, wordlist FROM (SELECT trim(unnest(string_split(text, chr(10))), chr(13) || ' ') AS word, coalesce(lang, '-') AS wordlist FROM documents) WHERE word <> ''",
+}
+
+QUERIES = (line_split, plain_words, normalized_vocab, derived_lexicon, unknown_words, miss_summary, miss_by_path, harvested_words, added_words, project_misses, selected_files, rule_selected_files, nested_rules, file_wordlists, directive_gate, key_candidates, key_features, key_classes, scanned_words, scanned_plain_words, suggestions, autocorrected, decided_misses, miss_context, close_pairs, language_words)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
