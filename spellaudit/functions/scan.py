@@ -96,10 +96,10 @@ def scan(line: str, *, min_length: int = 3, model: KeyModel | None = None, skip_
         if directives:
             if line.startswith(f"{marker}:disable-line", at):
                 return
-            if line.startswith(f"{marker}:disable", at):
-                on = False
-            elif line.startswith(f"{marker}:enable", at):
-                on = True
+            word = f"{marker}:disable" if on else f"{marker}:enable"
+            if line.startswith(word, at):
+                on, at = not on, at + len(word)
+                continue
         name, end = "", at
         if not WORDY.match(line, at):
             at += 1

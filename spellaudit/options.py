@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 # The default exclusions and languages.
-EXCLUDES = (".git/", ".spellr_wordlists/", ".DS_Store", "Gemfile.lock", ".rspec_status", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.ico", ".gitkeep", ".keep", "*.svg", "*.eot", "*.ttf", "*.woff", "*.woff2", "*.zip", "*.pdf", "*.xlsx", "*.gz")
+EXCLUDES = (".git/", ".spellaudit_wordlists/", ".DS_Store", "Gemfile.lock", ".rspec_status", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.ico", ".gitkeep", ".keep", "*.svg", "*.eot", "*.ttf", "*.woff", "*.woff2", "*.zip", "*.pdf", "*.xlsx", "*.gz")
 
 
 @dataclass(frozen=True)
