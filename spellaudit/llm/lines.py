@@ -67,20 +67,21 @@ def within(a: Column | str, b: Column | str, k: int = 1) -> Column:
 
 
 def numbered(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, place, raw, and line where the line takes part (else null)."""
+    """doc_id, place and line of the lines that take part."""
     each = docs.filter(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "raw"))
-    line = F.trim("raw", F.lit(" \t\r"))
-    return each.select("doc_id", "place", "raw", F.when(F.char_length(line) >= min_chars, line).alias("line"))
+    return each.select("doc_id", "place", F.trim("raw", F.lit(" \t\r")).alias("line")).filter(F.char_length("line") >= min_chars)
 
 
-def _keyed(lines: DataFrame, level: int, part: Column) -> DataFrame:
-    """The keys of a level: all of the line but part ``part`` of 2**level, as a line of its length and as one a character longer."""
-    size = F.col("n") - F.col("delta")
-    step = 1 << level
+def _key(level: int, part: Column, delta: Column) -> list[Column]:
+    """key, begin and open of part ``part`` of 2**level of ``line``, read as a line of its length less delta.
+
+    The key holds all of the line but the part, which is ``open`` characters (and delta more) from ``begin`` on.
+    """
+    size, step = F.char_length("line") - delta, 1 << level
     begin = F.floor(part * size / step).cast("int")
     end = F.floor((part + 1) * size / step).cast("int")
-    rest = F.struct(F.substr(F.col("line"), F.lit(1), begin), F.substr(F.col("line"), end + F.col("delta") + 1))
-    return lines.withColumn("part", part.cast("int")).withColumn("begin", begin).withColumn("open", end - begin).withColumn("key", F.xxhash64(F.lit(level), size, F.col("part"), rest))
+    key = F.xxhash64(F.lit(level), size, part, F.substr(F.col("line"), F.lit(1), begin), F.lit("|"), F.substr(F.col("line"), end + delta + 1))
+    return [key.alias("key"), begin.alias("begin"), (end - begin).alias("open")]
 
 
 def _tight(many: DataFrame) -> DataFrame:
@@ -97,61 +98,80 @@ def _tight(many: DataFrame) -> DataFrame:
     return rows.join(bases, "key").join(same, ["key", "mid"]).filter("(delta = 0 and (first > any or first > longer)) or (delta = 1 and first > base)").select("id")
 
 
-def near_links(distinct: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
-    """id, and earlier (the ids), of distinct lines (id, first, line) that have an earlier line within one edit."""
-    lines = distinct.select("id", "first", "line", F.char_length("line").alias("n"), F.explode(F.array(F.lit(0), F.lit(1))).alias("delta"))
-    live = _keyed(lines.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))), 1, F.col("half")).drop("half")
-    found, level = None, 1
+def _near(shared: DataFrame, bucket: int) -> DataFrame:
+    """id of lines with an earlier one within an edit, of what the keys of a level show; rows have the lines' texts."""
+    few = shared.filter(F.col("size") <= bucket)
+    open_part = F.substr(F.col("line"), F.col("begin") + 1, F.col("open") + F.col("delta"))
+    base = few.filter("delta = 0").select("key", F.col("id").alias("a"), F.col("first").alias("fa"), open_part.alias("pa"))
+    pairs = few.select("key", F.col("id").alias("b"), F.col("first").alias("fb"), open_part.alias("pb"), "delta").join(base, "key").filter("a != b and (delta = 1 or fa < fb)")
+    # the rest of the lines is equal; the built-in bounded distance spares most pairs the bit vectors
+    near = pairs.filter((F.levenshtein("pa", "pb", 1) >= 0) & within("pa", "pb", 1))
+    found = near.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id"))
+    return found.unionByName(_tight(shared.filter((F.col("size") > bucket) & (F.col("open") <= 1))))
+
+
+def _shared(live: DataFrame) -> DataFrame:
+    """The rows of keys that several lines have, one of them read at its own length."""
+    sizes = live.groupBy("key").agg(F.count("*").alias("size"), F.sum(1 - F.col("delta")).alias("bases")).filter("size > 1 and bases > 0").drop("bases")
+    return live.join(sizes, "key")
+
+
+def near_links(distinct: DataFrame, each: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
+    """id of distinct lines (id, first, keys of the first level) with an earlier line within one edit; ``each`` has the texts."""
+    at = [(part, delta) for delta in (0, 1) for part in (0, 1)]
+    keyed = F.explode(F.array(*(F.struct(F.col("keys")[i].alias("key"), F.lit(part).alias("part"), F.lit(delta).alias("delta")) for i, (part, delta) in enumerate(at))))
+    narrow = written(_shared(distinct.select("id", "first", keyed.alias("k")).select("id", "first", "k.*")), name="keys")
+    # texts come only now, for lines that share a key
+    wanted = narrow.select("id", "first").distinct().select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"))
+    texts = wanted.join(each.select("doc_id", "place", "line"), ["doc_id", "place"]).groupBy("id").agg(F.any_value("line").alias("line"))
+    shared = written(narrow.join(texts, "id").select("id", "first", "line", "delta", "part", "size", *_key(1, F.col("part"), F.col("delta"))), name="keys")
+    found, level = _near(shared, bucket), 1
     while True:
-        sizes = live.groupBy("key").agg(F.count("*").alias("size"), F.sum(1 - F.col("delta")).alias("bases")).filter("size > 1 and bases > 0").drop("bases")
-        shared = written(live.join(sizes, "key"), name="keys")
-        few = shared.filter(F.col("size") <= bucket)
-        base = few.filter("delta = 0").select("key", F.col("id").alias("a"), F.col("first").alias("fa"), F.col("line").alias("la"))
-        pairs = few.select("key", F.col("id").alias("b"), F.col("first").alias("fb"), F.col("line").alias("lb"), "delta").join(base, "key").filter("a != b and (delta = 1 or fa < fb)")
-        near = pairs.filter(within("la", "lb", 1)).select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id"))
-        found = near if found is None else found.unionByName(near)
-        many = shared.filter(F.col("size") > bucket)
-        found = found.unionByName(_tight(many.filter("open <= 1")))
-        wide = many.filter("open > 1")
+        wide = shared.filter((F.col("size") > bucket) & (F.col("open") > 1))
         if level >= LEVELS or wide.isEmpty():
             return found.distinct()
         level += 1
-        live = _keyed(wide.select("id", "first", "line", "n", "delta", F.explode(F.array(F.col("part") * 2, F.col("part") * 2 + 1)).alias("p")), level, F.col("p")).drop("p").distinct()
+        halves = wide.select("id", "first", "line", "delta", F.explode(F.array(F.col("part") * 2, F.col("part") * 2 + 1)).alias("part")).distinct()
+        shared = written(_shared(halves.select("*", *_key(level, F.col("part"), F.col("delta")))), name="keys")
+        found = found.unionByName(_near(shared, bucket))
 
 
-def removed_lines(docs: DataFrame, *, threshold: int = 1, min_chars: int = MIN_CHARS, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, place, raw, line and gone, for each line of documents with text."""
+def removed_places(docs: DataFrame, *, threshold: int = 1, min_chars: int = MIN_CHARS, bucket: int = BUCKET) -> DataFrame:
+    """doc_id and gone, the places (from 0) of the lines that go, of documents that lose any."""
     if threshold not in (0, 1):
         raise ValueError("threshold must be 0 or 1")
     each = numbered(docs, min_chars)
-    distinct = each.filter("line is not null").groupBy("line").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("times"))
-    distinct = written(distinct.withColumn("id", F.xxhash64("line", F.lit(7))), name="lines")
-    twice = distinct.filter("times > 1").select("line", "first", F.lit(False).alias("all"))
+    # lines are told by MD5; the keys of the first level are made where the text is at hand
+    keys = F.array(*(_key(1, F.lit(part), F.lit(delta))[0] for delta in (0, 1) for part in (0, 1)))
+    named = written(each.select("doc_id", "place", F.unhex(F.md5(F.encode("line", "UTF-8"))).alias("id"), keys.alias("keys")), name="lines")
+    distinct = named.groupBy("id").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("times"), F.min("keys").alias("keys"))
+    distinct = written(distinct, name="distinct")
+    marks = distinct.filter("times > 1").select("id", "first", F.lit(False).alias("all"))
     if threshold:
-        near = written(near_links(distinct, bucket=bucket), name="near")
-        gone = distinct.join(near, "id", "left_semi").select("line", "first", F.lit(True).alias("all"))
-        twice = twice.unionByName(gone).groupBy("line").agg(F.first("first").alias("first"), F.max("all").alias("all"))
-    marked = each.join(twice, "line", "left")
-    later = F.struct("doc_id", "place") > F.col("first")
-    return marked.select("doc_id", "place", "raw", "line", (F.col("all").isNotNull() & (F.col("all") | later)).alias("gone"))
+        near = written(near_links(distinct, each, bucket=bucket), name="near")
+        marks = marks.unionByName(distinct.join(near, "id", "left_semi").select("id", "first", F.lit(True).alias("all")))
+        marks = marks.groupBy("id").agg(F.min("first").alias("first"), F.max("all").alias("all"))
+    gone = named.select("doc_id", "place", "id").join(marks, "id").filter(F.col("all") | (F.struct("doc_id", "place") > F.col("first")))
+    return gone.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
 
 
 def rebuilt(docs: DataFrame, **options: int) -> DataFrame:
-    """doc_id, n_lines, n_removed and text (what stays, joined by line feeds) of documents with text."""
-    kept = F.array_sort(F.collect_list(F.when(~F.col("gone"), F.struct("place", "raw"))))
-    each = removed_lines(docs, **options).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.col("gone").cast("long")).alias("n_removed"), kept.alias("kept"))
-    return each.select("doc_id", "n_lines", "n_removed", F.array_join(F.transform("kept", lambda x: x["raw"]), "\n").alias("text"))
+    """The rows of docs with ``_lines`` (all lines), ``_gone`` (places) and ``_text`` (what stays, joined by line feeds)."""
+    places = written(removed_places(docs.select("doc_id", "text"), **options), name="gone").withColumnRenamed("gone", "_gone")
+    joined = docs.join(places, "doc_id", "left").withColumn("_lines", F.split("text", "\n", -1))
+    kept = F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i))
+    return joined.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
 
 
 def line_report(docs: DataFrame, **options: int) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 (of the text that stays) of each document."""
     done = rebuilt(docs.select("doc_id", "text"), **options)
-    none = docs.filter(F.col("text").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
-    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256")).unionByName(none)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
+    n_gone = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
+    return done.select("doc_id", n_lines.alias("n_lines"), n_gone.alias("n_removed"), F.sha2(F.coalesce("_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def dedup_lines(docs: DataFrame, **options: int) -> DataFrame:
     """The documents with the text that stays; those that lose all their lines go. Ids must be unique."""
-    new = rebuilt(docs.select("doc_id", "text"), **options).select("doc_id", F.col("text").alias("new_text"), (F.col("n_lines") == F.col("n_removed")).alias("emptied"))
-    rest = docs.drop("text").join(new, "doc_id", "left").filter(~F.coalesce("emptied", F.lit(False)))
-    return rest.withColumnRenamed("new_text", "text").select(docs.columns)
+    done = rebuilt(docs, **options).filter(F.col("_gone").isNull() | (F.size("_gone") < F.size("_lines")))
+    return done.select(*(F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
