@@ -123,7 +123,7 @@ def near_links(distinct: DataFrame, each: DataFrame, *, bucket: int = BUCKET) ->
     narrow = written(_shared(distinct.select("id", "first", keyed.alias("k")).select("id", "first", "k.*")), name="keys")
     # texts come only now, for lines that share a key
     wanted = narrow.select("id", "first").distinct().select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"))
-    texts = wanted.join(each.select("doc_id", "place", "line"), ["doc_id", "place"]).groupBy("id").agg(F.any_value("line").alias("line"))
+    texts = wanted.hint("merge").join(each.select("doc_id", "place", "line"), ["doc_id", "place"]).groupBy("id").agg(F.any_value("line").alias("line"))
     shared = written(narrow.join(texts, "id").select("id", "first", "line", "delta", "part", "size", *_key(1, F.col("part"), F.col("delta"))), name="keys")
     found, level = _near(shared, bucket), 1
     while True:
@@ -158,7 +158,7 @@ def removed_places(docs: DataFrame, *, threshold: int = 1, min_chars: int = MIN_
 def rebuilt(docs: DataFrame, **options: int) -> DataFrame:
     """The rows of docs with ``_lines`` (all lines), ``_gone`` (places) and ``_text`` (what stays, joined by line feeds)."""
     places = written(removed_places(docs.select("doc_id", "text"), **options), name="gone").withColumnRenamed("gone", "_gone")
-    joined = docs.join(places, "doc_id", "left").withColumn("_lines", F.split("text", "\n", -1))
+    joined = docs.join(places.hint("merge"), "doc_id", "left").withColumn("_lines", F.split("text", "\n", -1))
     kept = F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i))
     return joined.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
 
