@@ -46,8 +46,12 @@ def lookup(spark: SparkSession, shards: list[str], slots: int = SLOTS) -> DataFr
     """slot and shard, made from one literal array."""
     owners = fill(shards, slots)
     names = F.array(*(F.lit(s) for s in shards))
-    packed = "".join(f"{i:04x}" for i in owners)
-    return spark.range(slots, numPartitions=1).select(F.col("id").cast("int").alias("slot"), names[F.conv(F.substr(F.lit(packed), F.col("id").cast("int") * 4 + 1, F.lit(4)), 16, 10).cast("int")].alias("shard"))
+    # chunks of 256 slots, four hexadecimal digits each
+    chunks = F.array(*(F.lit("".join(f"{i:04x}" for i in owners[at : at + 256])) for at in range(0, slots, 256)))
+    rows = spark.range(-(-slots // 256), numPartitions=1).select(F.col("id").cast("int").alias("chunk"), F.get(chunks, F.col("id").cast("int")).alias("digits"))
+    each = rows.select("chunk", "digits", F.explode(F.sequence(F.lit(0), (F.length("digits") / 4 - 1).cast("int"))).alias("i"))
+    i = F.col("i")
+    return each.select((F.col("chunk") * 256 + i).alias("slot"), names[F.conv(F.substr(F.col("digits"), i * 4 + 1, F.lit(4)), 16, 10).cast("int")].alias("shard"))
 
 
 def slot_of(*keys: Column, slots: int = SLOTS) -> Column:
