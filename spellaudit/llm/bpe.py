@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 #: Pieces of up to this many bytes are encoded side by side.
 SIDE_BY_SIDE = 64
 #: Pieces from which on a worker's cache takes in no more; frequent ones come early.
-CACHE = 600_000
+CACHE = 300_000
 NONE = np.int64(1) << 62
 
 
