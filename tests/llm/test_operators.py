@@ -154,7 +154,7 @@ def test_language_model(docs, rows):
             counts.update(brown.tokens(t))
     n, v = sum(counts.values()), len(counts)
     better = 0.0
-    for r in brown.scores(docs, heads=200, tails=50, classes=4, rounds=2).collect():
+    for r in brown.scores(docs).collect():
         words = brown.tokens(rows[r.doc_id])
         base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(counts[w] > 0 for w in words), n)
