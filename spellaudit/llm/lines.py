@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spellaudit.llm.common import written
+from spellaudit.llm.common import skewed_join, written
 
 MIN_CHARS, BUCKET, LEVELS = 20, 24, 20
 
@@ -146,12 +146,13 @@ def removed_places(docs: DataFrame, *, threshold: int = 1, min_chars: int = MIN_
     named = written(each.select("doc_id", "place", F.unhex(F.md5(F.encode("line", "UTF-8"))).alias("id"), keys.alias("keys")), name="lines")
     distinct = named.groupBy("id").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("times"), F.min("keys").alias("keys"))
     distinct = written(distinct, name="distinct")
-    marks = distinct.filter("times > 1").select("id", "first", F.lit(False).alias("all"))
+    marks = distinct.filter("times > 1").select("id", "first", "times", F.lit(False).alias("all"))
     if threshold:
         near = written(near_links(distinct, each, bucket=bucket), name="near")
-        marks = marks.unionByName(distinct.join(near, "id", "left_semi").select("id", "first", F.lit(True).alias("all")))
-        marks = marks.groupBy("id").agg(F.min("first").alias("first"), F.max("all").alias("all"))
-    gone = named.select("doc_id", "place", "id").join(marks, "id").filter(F.col("all") | (F.struct("doc_id", "place") > F.col("first")))
+        marks = marks.unionByName(distinct.join(near, "id", "left_semi").select("id", "first", "times", F.lit(True).alias("all")))
+        marks = written(marks.groupBy("id").agg(F.min("first").alias("first"), F.min("times").alias("times"), F.max("all").alias("all")), name="marks")
+    # a line that many documents repeat stays spread
+    gone = skewed_join(named.select("doc_id", "place", "id"), marks, "id", "times").filter(F.col("all") | (F.struct("doc_id", "place") > F.col("first")))
     return gone.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
 
 

@@ -12,8 +12,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from spellaudit.llm import bpe, brown, chat, decontaminate, lines, media, near_dups, quality, repeats, sharding
+from spellaudit.llm.common import skewed_join, written
 
 DATA = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -195,3 +197,11 @@ def test_sharding(spark, docs):
     for r in sharding.assign(docs, ["doc_id"], shards, slots=1009).collect():
         slot = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16) % 1009
         assert (r.slot, r.shard) == (slot, shards[table[slot]])
+
+
+def test_skewed_join_gives_the_plain_join(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(3000)] + [(f"k{i % 2000}", i) for i in range(4000)] + [("alone", 0), (None, 1)], "key string, i int")
+    groups = written(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    got, plain = (sorted(map(tuple, x.select("key", "i", "size").collect())) for x in (skewed_join(rows, groups, "key", "size"), rows.join(groups, "key")))
+    assert got == plain and len(got) == 7000
+    assert not skewed_join(rows.limit(0), groups.limit(0), "key", "size").collect()
