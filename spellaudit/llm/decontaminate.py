@@ -72,6 +72,8 @@ def prefixed(docs: DataFrame, items: DataFrame, *, size: int = SIZE, small: bool
     wins = written(windows_of(items, size).groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items")), name="windows")
     vocabulary = wins.select(F.explode(F.split("window", " ")).alias("word")).distinct()
     counts = _counted(docs, vocabulary, small)
+    if small:  # no more words than the benchmark has, so that its frequent words stay spread
+        counts = F.broadcast(counts)
     ranked = wins.select("window", "items", F.posexplode(F.split("window", " ")).alias("at", "word")).join(counts, "word", "left")
     # a window with a word that no document has cannot occur
     best = ranked.groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("p"), F.first("items").alias("items"))
