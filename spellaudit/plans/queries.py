@@ -1,12 +1,14 @@
 """Registered queries over the driver's tables, and the SQL that gives the same rows.
 
-The lexicon is derived from the documents: words of plain lines in at least LEAST_FILES of them.
+The lexicon is derived from the documents: words in at least LEAST_FILES of them. The queries that have SQL take the words
+of plain lines only; those named all_lines_ take the scanner's words of all lines, and are the whole job.
 """
 
 from __future__ import annotations
 
 import string
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from spellaudit.functions.scan import scan_lines
 from spellaudit.functions.words import normalize, plain_tokens
 from spellaudit.operators import check, correct, directives, select, suggest
 from spellaudit.options import Options
-from spellaudit.sources.corpus import from_documents, lines, parse_words
+from spellaudit.sources.corpus import from_documents, lines, parse_words, stored
 
 LEAST_FILES = 5
 #: Words of the data that stand for the directives' marker and actions, as the data has no directives.
@@ -24,6 +26,10 @@ ON, OFF, ONE = " and ", " the ", " with "
 RULES = ("*.html", "/en/", "src1?", "de/src2/*.txt")
 
 
+#: Gives the words of the documents.
+Words = Callable[[SparkSession, str], DataFrame]
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -38,6 +44,11 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_tokens(lines(_documents(spark, sf_dir)))
 
 
+def _all_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, line_no, col, text and case_kind of the scanner's words of all lines; scanned once, as misses need them twice."""
+    return stored(scan_lines(lines(_documents(spark, sf_dir))).drop("kind"))
+
+
 def _lexicon(tokens: DataFrame) -> DataFrame:
     each = tokens.select(normalize(F.col("text")).alias("word"), "path").distinct()
     return each.groupBy("word").agg(F.count("*").alias("files")).filter(F.col("files") >= LEAST_FILES).select("word", "files")
@@ -47,50 +58,50 @@ def line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(_documents(spark, sf_dir))
 
 
-def plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tokens(spark, sf_dir).groupBy("path", "line_no", "text").agg(F.count("*").alias("n"))
+def plain_words(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
+    return words(spark, sf_dir).groupBy("path", "line_no", "text").agg(F.count("*").alias("n"))
 
 
-def normalized_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tokens(spark, sf_dir).select(normalize(F.col("text")).alias("norm")).distinct()
+def normalized_vocab(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
+    return words(spark, sf_dir).select(normalize(F.col("text")).alias("norm")).distinct()
 
 
-def derived_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lexicon(_tokens(spark, sf_dir))
+def derived_lexicon(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
+    return _lexicon(words(spark, sf_dir))
 
 
-def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _tokens(spark, sf_dir)
+def unknown_words(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
+    tokens = words(spark, sf_dir)
     return check.unknown_counts(tokens, _lexicon(tokens))
 
 
-def _misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _tokens(spark, sf_dir)
+def _misses(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
+    tokens = words(spark, sf_dir)
     return check.misses(tokens, _lexicon(tokens))
 
 
-def miss_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.summary(_documents(spark, sf_dir), _misses(spark, sf_dir))
+def miss_summary(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
+    return check.summary(_documents(spark, sf_dir), _misses(spark, sf_dir, words))
 
 
-def miss_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.by_path(_misses(spark, sf_dir))
+def miss_by_path(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
+    return check.by_path(_misses(spark, sf_dir, words))
 
 
-def harvested_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.harvest(_misses(spark, sf_dir))
+def harvested_words(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
+    return check.harvest(_misses(spark, sf_dir, words))
 
 
-def added_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _tokens(spark, sf_dir)
+def added_words(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
+    tokens = words(spark, sf_dir)
     lexicon = _lexicon(tokens).select("word", F.lit("derived").alias("wordlist"))
     return check.add_words(lexicon, check.harvest(check.misses(tokens, lexicon)), "project")
 
 
-def project_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def project_misses(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
     """Unknown words by file where each language's list is of its own files, and one list of all: words of English files by language lists."""
     docs = _documents(spark, sf_dir)
-    tokens = plain_tokens(lines(docs))
+    tokens = words(spark, sf_dir)
     lang = F.substring_index("path", "/", 1)
     each = tokens.select(normalize(F.col("text")).alias("word"), lang.alias("wordlist"), "path").distinct()
     lexicon = each.groupBy("word", "wordlist").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_FILES).select("word", "wordlist")
@@ -182,9 +193,10 @@ def autocorrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct.apply_fixes(corpus, correct.top_fixes(found, suggest.suggestions(found, lexicon)))
 
 
-def decided_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decided_misses(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
     """Misses after decisions from the data: words of four letters are skipped, of five replaced, of six added."""
-    found = _misses(spark, sf_dir).withColumn("col", F.lit(0))
+    found = _misses(spark, sf_dir, words)
+    found = found if "col" in found.columns else found.withColumn("col", F.lit(0))
     size = F.length("norm")
     action = F.when(size == 4, "skip").when(size == 5, "replace").when(size == 6, "add")
     decisions = found.select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("int").alias("col"), "norm", action.alias("action"), F.reverse("norm").alias("value")).filter("action is not null").distinct()
@@ -199,6 +211,12 @@ def miss_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check.with_context(at, numbered).select("place", "before", "word", "after")
 
 
+def all_lines_miss_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context of the first place of each unknown word in its line, on all lines; the place is the scanner's."""
+    at = _misses(spark, sf_dir, _all_tokens).groupBy("path", "line_no", "text").agg(F.min("col").alias("col"))
+    return check.with_context(at, lines(_documents(spark, sf_dir))).select("place", "before", "word", "after")
+
+
 def close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of part names with each other: similarity and edit distance."""
     names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
@@ -259,11 +277,13 @@ SQL = {
     "language_words": "SELECT DISTINCT word, wordlist FROM (SELECT trim(unnest(string_split(text, chr(10))), chr(13) || ' ') AS word, coalesce(lang, '-') AS wordlist FROM documents) WHERE word <> ''",
 }
 
-QUERIES = (line_split, plain_words, normalized_vocab, derived_lexicon, unknown_words, miss_summary, miss_by_path, harvested_words, added_words, project_misses, selected_files, rule_selected_files, nested_rules, file_wordlists, directive_gate, key_candidates, key_features, key_classes, scanned_words, scanned_plain_words, suggestions, autocorrected, decided_misses, miss_context, close_pairs, language_words)
+QUERIES = (line_split, plain_words, normalized_vocab, derived_lexicon, unknown_words, miss_summary, miss_by_path, harvested_words, added_words, project_misses, selected_files, rule_selected_files, nested_rules, file_wordlists, directive_gate, key_candidates, key_features, key_classes, scanned_words, scanned_plain_words, suggestions, autocorrected, decided_misses, miss_context, all_lines_miss_context, close_pairs, language_words)
+#: With the words of all lines these are registered once more, without SQL: it has no scanner.
+OF_WORDS = {"words": plain_words} | {f.__name__: f for f in (normalized_vocab, derived_lexicon, unknown_words, miss_summary, miss_by_path, harvested_words, added_words, project_misses, decided_misses)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | {f"all_lines_{name}": partial(f, words=_all_tokens) for name, f in OF_WORDS.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,15 @@ def ignore_rules(corpus: DataFrame) -> DataFrame:
     files = corpus.filter(F.col("path").rlike(r"(^|/)\.gitignore$"))
     each = files.select(F.regexp_replace("path", r"\.gitignore$", "").alias("prefix"), F.posexplode(F.split("content", "\n", -1)).alias("ord", "p"))
     return each.select("prefix", "ord", F.trim("p", F.lit(" \t\r")).alias("pattern")).filter("pattern != '' and not startswith(pattern, '#') and not startswith(pattern, '!')")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the folder that all executors share (a temporary one where none is set) and read back."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
