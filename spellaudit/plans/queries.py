@@ -169,18 +169,10 @@ def scanned_plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scanned_misses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    corpus = _corpus_of_parts(spark, sf_dir)
-    tokens = scan_lines(lines(corpus))
-    words = tokens.select(normalize(F.col("text")).alias("word"), "path").distinct()
-    lexicon = words.groupBy("word").agg(F.count("*").alias("files")).filter(F.col("files") >= LEAST_FILES)
-    return corpus, check.misses(tokens.drop("kind"), lexicon), lexicon
-
-
-def _corpus_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts and the names of parts as a corpus with few distinct words."""
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.concat(F.lit("bench/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string"), F.lit(".txt")).alias("path"), F.col("p_name").alias("content"))
-    return bench.unionByName(part)
+    """The documents, the misses of all their lines and their lexicon."""
+    tokens = _all_tokens(spark, sf_dir)
+    lexicon = stored(_lexicon(tokens))
+    return _documents(spark, sf_dir), stored(check.misses(tokens, lexicon)), lexicon
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
