@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from spellaudit.llm.common import skewed_join, written
 
-MIN_CHARS, BUCKET, LEVELS = 20, 24, 20
+MIN_CHARS, BUCKET = 20, 24
 
 
 def within(a: Column | str, b: Column | str, k: int = 1) -> Column:
@@ -77,9 +77,10 @@ def _key(level: int, part: Column, delta: Column) -> list[Column]:
 
     The key holds all of the line but the part, which is ``open`` characters (and delta more) from ``begin`` on.
     """
-    size, step = F.char_length("line") - delta, 1 << level
-    begin = F.floor(part * size / step).cast("int")
-    end = F.floor((part + 1) * size / step).cast("int")
+    # whole numbers of 64 bits: part times size is beyond 32 bits for long lines, and doubles would round
+    size, part = F.char_length("line") - delta, part.cast("bigint")
+    begin = F.shiftright(part * size, level).cast("int")
+    end = F.shiftright((part + 1) * size, level).cast("int")
     key = F.xxhash64(F.lit(level), size, part, F.substr(F.col("line"), F.lit(1), begin), F.lit("|"), F.substr(F.col("line"), end + delta + 1))
     return [key.alias("key"), begin.alias("begin"), (end - begin).alias("open")]
 
@@ -128,10 +129,11 @@ def near_links(distinct: DataFrame, each: DataFrame, *, bucket: int = BUCKET) ->
     found, level = _near(shared, bucket), 1
     while True:
         wide = shared.filter((F.col("size") > bucket) & (F.col("open") > 1))
-        if level >= LEVELS or wide.isEmpty():
+        # ends: a part of a level is half of one before
+        if wide.isEmpty():
             return found.distinct()
         level += 1
-        halves = wide.select("id", "first", "line", "delta", F.explode(F.array(F.col("part") * 2, F.col("part") * 2 + 1)).alias("part")).distinct()
+        halves = wide.select("id", "first", "line", "delta", F.explode(F.array(F.col("part").cast("bigint") * 2, F.col("part").cast("bigint") * 2 + 1)).alias("part")).distinct()
         shared = written(_shared(halves.select("*", *_key(level, F.col("part"), F.col("delta")))), name="keys")
         found = found.unionByName(_near(shared, bucket))
 
