@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,11 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (as in tests)."""
+    """The folder that all executors share, as the session names it; where none is named, a temporary one of a local master alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,7 +49,7 @@ def documents_only(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-def skewed_join(rows: DataFrame, groups: DataFrame, key: str, size: str, *, share: int = 1000) -> DataFrame:
+def skewed_join(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, *, share: int = 1000) -> DataFrame:
     """``rows`` joined with ``groups``, which has each key once and the number of its rows in ``size``; both are read twice.
 
     A key with more than a ``share``-th of all those rows is joined by broadcast, so its rows are not gathered in one task:

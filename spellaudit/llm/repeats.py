@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spellaudit.llm.common import written
+from spellaudit.llm.common import skewed_join, written
 
 LENGTH, GRAM = 400, 64
 #: Windows handled at once, so that places fit below a hash.
@@ -83,8 +83,9 @@ class RunIndex:
         bwt = np.frombuffer(text, np.uint8)[sa - 1]
         change = np.flatnonzero(bwt[1:] != bwt[:-1])
         zero = int(np.flatnonzero(sa == 0)[0])
-        heads = np.unique(np.concatenate(([0, zero], change + 1)))
-        ends = np.unique(np.concatenate(([n - 1, zero], change)))
+        # the row of the whole text has no byte before it, whatever its neighbours have: it parts them
+        heads = np.unique(np.concatenate(([0, zero, min(zero + 1, n - 1)], change + 1)))
+        ends = np.unique(np.concatenate(([n - 1, zero, max(zero - 1, 0)], change)))
         self.runs = len(change) + 1
         self.heads = sa[heads], self._common(grams, sa[heads], np.where(heads > 0, sa[heads - 1], -1))
         self.ends = sa[ends], self._common(grams, sa[ends], np.where(ends < n - 1, sa[np.minimum(ends + 1, n - 1)], -1))
@@ -176,8 +177,15 @@ def _solve(segs: DataFrame, length: int, group: int, widths: tuple[int, ...]) ->
     sizes = distinct.groupBy("key").agg(F.count("*").alias("nd"), F.sum("n").alias("total")).filter("total > 1").drop("total")
     sub = written(distinct.join(sizes, "key"), name="segments")
     marks = sub.filter("n > 1").select("key", "seg", F.lit(0).alias("a"), (F.col("nwin") - 1).alias("b")).unionByName(_solve(sub.filter("nd > 1").drop("n"), length, group, widths[1:]))
-    back = parts.select("pkey", "pseg", "off", "key", "seg").join(marks, ["key", "seg"]).select(F.col("pkey").alias("key"), F.col("pseg").alias("seg"), (F.col("off") + F.col("a")).alias("a"), (F.col("off") + F.col("b")).alias("b"))
-    return out.unionByName(back)
+    back = _at_places(parts.select("pkey", "pseg", "off", "key", "seg"), marks, sub).select(F.col("pkey").alias("key"), F.col("pseg").alias("seg"), "off", F.explode("runs").alias("r"))
+    return out.unionByName(back.select("key", "seg", (F.col("off") + F.col("r.a")).alias("a"), (F.col("off") + F.col("r.b")).alias("b")))
+
+
+def _at_places(places: DataFrame, marks: DataFrame, counted: DataFrame) -> DataFrame:
+    """``places`` with the runs of their segments; a segment that very many places have stays spread. ``counted`` has n, their number."""
+    runs = marks.groupBy("key", "seg").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    groups = written(runs.join(counted.select("key", "seg", F.col("n").alias("_n")), ["key", "seg"]), name="runs")
+    return skewed_join(places, groups, ["key", "seg"], "_n").drop("_n")
 
 
 def _raw(docs: DataFrame) -> DataFrame:
@@ -210,8 +218,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, group: int = GROUP)
     taken = _raw(docs).join(wanted, "doc_id").select(F.explode(F.expr(f"transform(w, x -> struct(x.key, x.seg, x.nd, substring(raw, x.lo + 1, x.hi - x.lo + {length}) AS content, x.at - x.lo AS c0, x.hi - x.lo + 1 AS nwin))")).alias("s")).select("s.*")
     segs = written(taken, name="texts")
     marks = known.filter("n > 1").select("key", "seg", F.lit(0).alias("a"), (F.col("one.hi") - F.col("one.lo")).alias("b")).unionByName(_solve(segs, length, group, WIDTHS))
-    runs = marks.groupBy("key", "seg").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
-    spans = found.join(runs, ["key", "seg"]).select("doc_id", F.expr(f"transform(runs, r -> struct(lo + r.a AS start, lo + r.b + {length} AS end))").alias("s"))
+    spans = _at_places(found, marks, known).select("doc_id", F.expr(f"transform(runs, r -> struct(lo + r.a AS start, lo + r.b + {length} AS end))").alias("s"))
     return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 

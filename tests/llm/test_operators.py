@@ -205,3 +205,18 @@ def test_skewed_join_gives_the_plain_join(spark):
     got, plain = (sorted(map(tuple, x.select("key", "i", "size").collect())) for x in (skewed_join(rows, groups, "key", "size"), rows.join(groups, "key")))
     assert got == plain and len(got) == 7000
     assert not skewed_join(rows.limit(0), groups.limit(0), "key", "size").collect()
+
+
+def test_run_index_gives_all_matching_statistics():
+    random.seed(1)
+    for t in range(600):
+        text = b"\xff".join(bytes(random.choices(b"ab" if t % 2 else b"abc", k=random.randint(1, 9))) for _ in range(random.randint(1, 6))) + b"\xff"
+        n = len(text)
+
+        def common(a, b, text=text, n=n):
+            k = 0
+            while max(a, b) + k < n and text[a + k] == text[b + k]:
+                k += 1
+            return k
+
+        assert repeats.RunIndex(text).matching_statistics().tolist() == [max([common(i, j) for j in range(n) if j != i], default=0) for i in range(n)]
