@@ -1,148 +1,115 @@
 """The line scanner: words of a line with their places, past URLs, escapes, colours, numbers and keys.
 
 At each place the rules are tried in order; the first that fits is passed over, else a word is read, else a character
-goes. ``skips`` gives the same pass with the name of the rule for whatever was passed over.
+goes. That is how a search for one alternation of all rules goes through a line, so the scanner is one regular
+expression. ``words`` searches in Spark's own column functions; ``scan_lines`` searches in Python, where places, the names
+of the rules, directives or a key model are asked for. Both take their expression from ``pattern``.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from spellaudit.functions.keys import KeyModel
 
-CONTRACTION = r"(?:['\u2000-\u2fff](?!s(?![a-z]))[a-z]+)*"
-TITLE = re.compile(r"[A-Z][a-z]+" + CONTRACTION)
-LOWER = re.compile(r"[a-z](?:[a-z]+" + CONTRACTION + ")?")
-UPPER = re.compile(r"[A-Z]+(?:(?![A-Za-z0-9_-])|(?=[A-Z][a-z]{2}))(?:'[A-Z]++(?![a-z]))?")
+LETTER, HEX = "[A-Za-z]", "[0-9A-Fa-f]"
+CONTRACTION = r"(?:['\u2000-\u2fff](?!s(?![a-z]))[a-z]++)*+"
+#: A word: title, upper or lower.
+WORD = rf"[A-Z][a-z]++{CONTRACTION}|[A-Z]+(?:(?![A-Za-z0-9_-])|(?=[A-Z][a-z]{{2}}))(?:'[A-Z]++(?![a-z]))?|[a-z](?:[a-z]++{CONTRACTION})?"
+SCHEME = r"(?:https?://|s?ftp://|mailto:|//)"
+USER = r"[A-Za-z0-9]++(?::[A-Za-z0-9]*+)?@"
+#: An address goes without its last character; a name has a dot.
+HOST = r"(?>(?:[0-9]++\.){3}[0-9]*(?=[0-9](?![0-9.]))|(?:[0-9]++\.){2}[0-9]++(?=\.(?![0-9]))|[A-Za-z0-9\\-]++(?:(?:\.[A-Za-z0-9\\-]++)++|(?=\.))|localhost)"
+
+
+def _run(signs: str) -> str:
+    """A run of signs and percent codes."""
+    return rf"[{signs}]*+(?:%{HEX}{{2}}[{signs}]*+)*+"
+
+
+REST = rf"(?::[0-9]++)?(?:/{_run(r'A-Za-z0-9=@!$&~\-/._\\')})?(?:\?{_run(r'A-Za-z0-9=!$\-/._\\&')})?(?:#{_run(r'A-Za-z0-9=!$&\-/.\\')})?"
+URL = rf"{SCHEME}(?:{USER})?+{HOST}{REST}|(?!{SCHEME})(?:{USER}{HOST}|(?!-){HOST}(?=/)){REST}"
 #: In order; each passes over what it matches.
-EARLY = [
-    ("ansi", re.compile(r"\\(?:e|033)\[\d+(?:;\d+)*m", re.A)),
-    ("escape", re.compile(r"\\[A-Za-z]")),
-    ("percent", re.compile(r"%(?:\d[0-9A-Fa-f]|[A-Fa-f]\d)", re.A)),
-    ("colour", re.compile(r"#(?:[0-9A-Fa-f]{6}|[0-9A-Fa-f]{3})(?![0-9A-Za-z])")),
-    ("hex", re.compile(r"0[xX][0-9A-Fa-f]+(?![0-9A-Za-z])")),
-]
-KNOWN = [
-    ("key_format", re.compile(r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}(?![A-Za-z0-9_-])")),
-    ("key_format", re.compile(r"prg-[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")),
-    ("key_format", re.compile(r"GTM-[A-Za-z0-9]{7}(?![A-Za-z0-9])")),
-    *(("key_format", re.compile(rf"sha{bits}-[A-Za-z0-9+/=]{{{n}}}(?![A-Za-z0-9+/=])")) for bits, n in ((1, 28), (256, 44), (384, 64), (512, 88))),
-]
-DATA_URI = re.compile(r"data:[A-Za-z0-9/+.-]*;base64,[A-Za-z0-9+/]*=*(?![A-Za-z0-9])")
-SPAN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_/+-]*+=*+(?![A-Za-z0-9])")
-CHANGES = re.compile(r"[A-Za-z]\d+[A-Za-z]|\d[A-Za-z]+\d", re.A)
-LATE = [
-    ("leftover", re.compile(r"[/%#\\0-9]")),
-    ("repeated", re.compile(r"([A-Za-z])\1+(?![A-Za-z])")),
-    ("alphabet", re.compile("(?i:" + "|".join("abcdefghijklmnopqrstuvwxyz"[:n] for n in range(26, 2, -1)) + ")(?![A-Za-z])")),
-]
-SCHEME = re.compile(r"https://|http://|sftp://|ftp://|mailto:|//")
-USER = re.compile(r"[A-Za-z0-9]+(?::[A-Za-z0-9]*)?@")
-ADDRESS = re.compile(r"(?:\d+\.){3}(?:\d++(?!\.)|(?!\d))", re.A)
-NAME = re.compile(r"[A-Za-z0-9\\-]+(?:\.[A-Za-z0-9\\-]+)*\.?")
-REST = re.compile(r"(?::\d+)?(?:/(?:[A-Za-z0-9=@!$&~\-/._\\]|%[0-9A-Fa-f]{2})*)?(?:\?(?:[A-Za-z0-9=!$\-/._\\&]|%[0-9A-Fa-f]{2})*)?(?:#(?:[A-Za-z0-9=!$&\-/.\\]|%[0-9A-Fa-f]{2})*)?", re.A)
-#: Without any of these no URL starts on a line.
-URL_SIGNS = re.compile(r"//|mailto:|\.|localhost")
-WORDY = re.compile(r"[A-Za-z0-9%/#\\]")
-
-
-def host_end(line: str, at: int) -> int:
-    """Where a host that starts here ends, or ``at``; an address ends before its last character."""
-    if m := ADDRESS.match(line, at):
-        return m.end() - 1
-    m = NAME.match(line, at)
-    if m and "." in m.group():
-        end = m.end() - m.group().endswith(".")
-        if end > at:
-            return end
-    return at + 9 if line.startswith("localhost", at) else at
-
-
-def url_end(line: str, at: int) -> int:
-    """Where a URL that starts here ends, or ``at``."""
-    if m := SCHEME.match(line, at):
-        start = m.end()
-        if u := USER.match(line, start):
-            start = u.end()
-        end = host_end(line, start)
-        return REST.match(line, end).end() if end > start else at
-    if u := USER.match(line, at):
-        end = host_end(line, u.end())
-        if end > u.end():
-            return REST.match(line, end).end()
-    end = host_end(line, at)
-    return REST.match(line, end).end() if end > at and line.startswith("/", end) else at
+EARLY = {
+    "ansi": r"\\(?:e|033)\[[0-9]+(?:;[0-9]+)*+m",
+    "escape": r"\\[A-Za-z]",
+    "percent": r"%(?:[0-9][0-9A-Fa-f]|[A-Fa-f][0-9])",
+    "colour": rf"#(?:{HEX}{{6}}|{HEX}{{3}})(?![0-9A-Za-z])",
+    "hex": rf"0[xX]{HEX}++(?![0-9A-Za-z])",
+    "url": URL,
+    "key_format": r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}(?![A-Za-z0-9_-])|prg-" + HEX + "{8}(?:-" + HEX + "{4}){3}-" + HEX + r"{12}|GTM-[A-Za-z0-9]{7}(?![A-Za-z0-9])|sha(?:1-[A-Za-z0-9+/=]{28}|256-[A-Za-z0-9+/=]{44}|384-[A-Za-z0-9+/=]{64}|512-[A-Za-z0-9+/=]{88})(?![A-Za-z0-9+/=])",
+}
+DATA_URI = r"data:[A-Za-z0-9/+.-]*;base64,[A-Za-z0-9+/]*+=*+(?![A-Za-z0-9])"
+#: A span with letters and digits that change twice; what it must have besides is in ``is_key``.
+CHANGES = r"(?:[A-Za-z][_/+-]*[0-9][0-9_/+-]*[A-Za-z]|[0-9][_/+-]*[A-Za-z][A-Za-z_/+-]*[0-9])"
+SPAN = rf"(?=[A-Za-z0-9_/+-]*?{CHANGES})[A-Za-z0-9][A-Za-z0-9_/+-]*+=*+(?![A-Za-z0-9])"
+LATE = {
+    "leftover": r"[/%#\\0-9]",
+    "repeated": r"(?P<r>[A-Za-z])(?P=r)++(?![A-Za-z])",
+    "alphabet": "[aA][bB][cC]" + "".join(f"(?:[{c}{c.upper()}]" for c in "defghijklmnopqrstuvwxyz") + ")?" * 23 + "(?![A-Za-z])",
+}
+
+
+def pattern(*, keys: bool = False, data_uris: bool = False, marker: str | None = None, on: bool = True) -> str:
+    """The scanner as an expression of named groups, a group a rule; ``word`` is a word between ASCII signs, other words have no group."""
+    rules = dict(EARLY)
+    if data_uris:
+        rules["data_uri"] = DATA_URI
+    if keys:
+        rules["key"] = SPAN
+    rules |= LATE
+    found = [f"(?P<{name}>{rx})" for name, rx in rules.items()]
+    if marker is not None:
+        found = [f"(?P<stop>{re.escape(marker)}:disable-line)", f"(?P<turn>{re.escape(marker)}:{'disable' if on else 'enable'})", *found]
+    if on:
+        found += [rf"(?<![^\x00-\x7F])(?P<word>(?>{WORD}))(?![^\x00-\x7F])", f"(?>{WORD})"]
+    return "|".join(found)
+
+
+@lru_cache
+def compiled(**options) -> re.Pattern:
+    return re.compile(pattern(**options))
 
 
 def is_key(span: str, model: KeyModel | None) -> bool:
-    plain = re.sub("[-_/+=]", "", span)
-    if not CHANGES.search(plain) or len(span) < 6:
-        return False
+    """Whether a span whose letters and digits change twice is a key."""
     if len(span) > 200:
         return True
-    return sum(c.isalpha() for c in span) >= 3 and model is not None and model.is_key(span)
+    return model is not None and len(span) >= 6 and sum(c.isalpha() for c in span) >= 3 and model.is_key(span)
+
+
+def kind_of(word: str) -> str:
+    return "lower" if word[0].islower() else "title" if word[1:2].islower() else "upper"
 
 
 def scan(line: str, *, min_length: int = 3, model: KeyModel | None = None, skip_keys: bool = True, marker: str | None = None, skip_data_uris: bool = False, skips: bool = False) -> Iterator[tuple[int, str, str, str]]:
     """Place (in characters), text, case kind and kind ("word", or the rule's name) in order."""
-    at, n, on = 0, len(line), True
-    urls = URL_SIGNS.search(line) is not None
-    directives = marker is not None and marker + ":" in line
-    while at < n:
-        if directives:
-            if line.startswith(f"{marker}:disable-line", at):
-                return
-            word = f"{marker}:disable" if on else f"{marker}:enable"
-            if line.startswith(word, at):
-                on, at = not on, at + len(word)
+    marker = marker if marker and marker + ":" in line else None
+    on, at = True, 0
+    of = {"data_uris": skip_data_uris, "marker": marker}
+    while m := compiled(keys=skip_keys, on=on, **of).search(line, at):
+        if m.lastgroup == "key" and not is_key(m.group(), model):
+            # no key: the rules after it come next, at the same place
+            m = compiled(keys=False, on=on, **of).match(line, m.start()) or m
+            if m.lastgroup == "key":
+                at = m.start() + 1
                 continue
-        name, end = "", at
-        if not WORDY.match(line, at):
-            at += 1
-            continue
-        for rule, rx in EARLY:
-            if m := rx.match(line, at):
-                name, end = rule, m.end()
-                break
-        if not name and urls and (end := url_end(line, at)) > at:
-            name = "url"
-        if not name:
-            end = at
-            for rule, rx in KNOWN:
-                if m := rx.match(line, at):
-                    name, end = rule, m.end()
-                    break
-        if not name and skip_data_uris and (m := DATA_URI.match(line, at)):
-            name, end = "data_uri", m.end()
-        if not name and skip_keys and (m := SPAN.match(line, at)) and is_key(m.group(), model):
-            name, end = "key", m.end()
-        if not name:
-            for rule, rx in LATE:
-                if m := rx.match(line, at):
-                    name, end = rule, m.end()
-                    break
-        if name:
-            if skips:
-                yield at, line[at:end], "other", name
-            at = end
-            continue
-        if not on:
-            at += 1
-            continue
-        for kind, rx in (("title", TITLE), ("upper", UPPER), ("lower", LOWER)):
-            if m := rx.match(line, at):
-                end = m.end()
-                clean = (at == 0 or line[at - 1].isascii()) and (end == n or line[end].isascii())
-                if clean and len(m.group().encode()) >= min_length:
-                    yield at, m.group(), kind, "word"
-                at = end
-                break
-        else:
-            at += 1
+        name, at = m.lastgroup, m.end()
+        if name == "stop":
+            return
+        if name == "turn":
+            on = not on
+        elif name == "word":
+            if len(m.group()) >= min_length or len(m.group().encode()) >= min_length:
+                yield m.start(), m.group(), kind_of(m.group()), "word"
+        elif skips and name:
+            yield m.start(), m.group(), "other", name
 
 
 def scan_lines(numbered: DataFrame, **options) -> DataFrame:
@@ -153,8 +120,31 @@ def scan_lines(numbered: DataFrame, **options) -> DataFrame:
             rows = []
             for path, no, line in zip(frame["path"], frame["line_no"], frame["line"], strict=True):
                 ascii_only = line.isascii()
-                for at, text, case, kind in scan(line, **options):
-                    rows.append((path, no, at if ascii_only else len(line[:at].encode()), text, case, kind))
+                rows += [(path, no, at if ascii_only else len(line[:at].encode()), text, case, kind) for at, text, case, kind in scan(line, **options)]
             yield pd.DataFrame(rows, columns=["path", "line_no", "col", "text", "case_kind", "kind"])
 
     return numbered.select("path", "line_no", "line").filter("line rlike '[A-Za-z]'").mapInPandas(run, "path string, line_no int, col int, text string, case_kind string, kind string")
+
+
+def case_kind(word: Column) -> Column:
+    return F.when(word.rlike("^[a-z]"), "lower").when(word.rlike("^.[a-z]"), "title").otherwise("upper")
+
+
+def words(numbered: DataFrame, *, min_length: int = 3, model: KeyModel | None = None, skip_keys: bool = True, marker: str | None = None) -> DataFrame:
+    """path, line_no, text and case_kind of the words of the lines, without their places.
+
+    Lines go through column functions, but for those with a span that the key rule must look at, or with directives.
+    """
+    line = F.col("line")
+    hard = F.lit(False)
+    if skip_keys:
+        hard = line.rlike("[A-Za-z0-9_/+=-]{201}") if model is None else line.rlike(CHANGES)
+    if marker is not None:
+        hard = hard | line.contains(marker + ":")
+    # two groups are needed: the letter that is repeated, and the word
+    rx = re.sub(r"\(\?P<(?!r>|word>)\w+>", "(?:", pattern()).replace("(?P<", "(?<").replace("(?P=r)", r"\k<r>")
+    found = F.filter(F.regexp_extract_all("line", F.lit(rx), F.lit(2)), lambda w: F.octet_length(w) >= min_length)
+    easy = numbered.filter(~hard & line.rlike("[A-Za-z]")).select("path", "line_no", F.explode(found).alias("text"))
+    easy = easy.select("path", "line_no", "text", case_kind(F.col("text")).alias("case_kind"))
+    rest = scan_lines(numbered.filter(hard), min_length=min_length, model=model, skip_keys=skip_keys, marker=marker)
+    return easy.unionByName(rest.select("path", "line_no", "text", "case_kind"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Three equal letters in a row, or the alphabet's start: a line with these needs the scanner.
-RUNS = "|".join([c * 3 for c in string.ascii_letters] + ["(?i:abc)"])
+RUNS = r"([A-Za-z])\1\1|[aA][bB][cC]"
 #: Lines of letters, blanks, commas and full stops, with no two capitals together: title and lower words alone.
 PLAIN = "^[A-Za-z ,.]*$"
 

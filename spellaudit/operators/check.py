@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spellaudit.functions import scan
+from spellaudit.functions.keys import KeyModel
 from spellaudit.functions.words import normalize
+from spellaudit.operators import directives, select
+from spellaudit.options import Options
 
 #: Lexicons of up to so many words are broadcast.
 BROADCAST_WORDS = 500_000
@@ -17,26 +21,45 @@ def merged(lexicon: DataFrame) -> DataFrame:
 
 
 def _sized(words: DataFrame) -> DataFrame:
-    """The words, broadcast if they are few enough."""
+    """The words, broadcast if they are few enough; ``words`` should be a written table, as it is counted first."""
     return F.broadcast(words) if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else words
 
 
 def misses(tokens: DataFrame, lexicon: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """The tokens, with norm, whose normalised text is in no list of their file (files: path, wordlists) nor in a project's ('*')."""
-    t = tokens.withColumn("norm", normalize(F.col("text")))
+    """The tokens, with norm, whose normalised text is in no list of their file (files: path, wordlists) nor in a project's ('*').
+
+    Tokens have text, or norm where it is known already (as words counted by file).
+    """
+    t = tokens if "norm" in tokens.columns else tokens.withColumn("norm", normalize(F.col("text")))
     if files is None:
-        return t.join(_sized(lexicon.select(F.col("word").alias("norm")).distinct()), "norm", "left_anti").select(*tokens.columns, "norm")
+        return t.join(_sized(lexicon.select(F.col("word").alias("norm")).distinct()), "norm", "left_anti").select(t.columns)
     words = merged(lexicon).withColumnRenamed("word", "_word")
     with_lists = t.join(files.select("path", "wordlists"), "path")
     known = (F.col("norm") == F.col("_word")) & (F.arrays_overlap("wordlists", "lists") | F.array_contains("lists", "*"))
-    return with_lists.join(_sized(words), known, "left_anti").select(*tokens.columns, "norm", "wordlists")
+    return with_lists.join(_sized(words), known, "left_anti").select(*t.columns, "wordlists")
+
+
+def check_corpus(corpus: DataFrame, lexicon: DataFrame, options: Options = Options(), *, model: KeyModel | None = None, **selection) -> DataFrame:
+    """The whole check of a corpus (path, content): path, line_no, col, text, case_kind, norm and wordlists of each miss.
+
+    Files are chosen by the options' and the given rules (``selection``: what ``select_files`` takes), lines by directives;
+    the scanner passes over keys by ``model``, and a word is known if one of its file's lists or a project's ('*') has it.
+    """
+    chosen = select.select_files(corpus, options, **selection)
+    numbered = directives.checked_lines(chosen.select("path", "content"), options.marker)
+    tokens = scan.scan_lines(numbered, min_length=options.min_length, model=model, marker=options.marker, skip_data_uris=options.skip_data_uris)
+    return misses(tokens.drop("kind"), lexicon, chosen.select("path", select.wordlists(options).alias("wordlists")))
+
+
+def _times(found: DataFrame) -> Column:
+    """How many misses a row stands for."""
+    return F.sum("n") if "n" in found.columns else F.count("*")
 
 
 def unknown_counts(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """norm, occurrences and files of unknown words: counted by word first, so that frequent words are not shuffled as rows."""
     by_file = tokens.select(normalize(F.col("text")).alias("norm"), "path").groupBy("norm", "path").agg(F.count("*").alias("n"))
-    counts = by_file.groupBy("norm").agg(F.sum("n").alias("occurrences"), F.count("*").alias("files"))
-    return counts.join(lexicon.select(F.col("word").alias("norm")).distinct(), "norm", "left_anti")
+    return misses(by_file, lexicon).groupBy("norm").agg(F.sum("n").alias("occurrences"), F.count("*").alias("files"))
 
 
 def harvest(found: DataFrame) -> DataFrame:
@@ -52,11 +75,11 @@ def add_words(lexicon: DataFrame, words: DataFrame, wordlist: str) -> DataFrame:
 
 def summary(files: DataFrame, found: DataFrame) -> DataFrame:
     """One row: files_checked (also binary and empty ones) and misses_found."""
-    return files.agg(F.count("*").alias("files_checked")).crossJoin(found.agg(F.count("*").alias("misses_found")))
+    return files.agg(F.count("*").alias("files_checked")).crossJoin(found.agg(F.coalesce(_times(found), F.lit(0)).alias("misses_found")))
 
 
 def by_path(found: DataFrame) -> DataFrame:
-    return found.groupBy("path").agg(F.count("*").alias("misses"))
+    return found.groupBy("path").agg(_times(found).alias("misses"))
 
 
 def hint_paths(found: DataFrame, most: int = 20) -> DataFrame:

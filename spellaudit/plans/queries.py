@@ -1,35 +1,27 @@
-"""Registered queries over the driver's tables, and the SQL that gives the same rows.
+"""Registered queries over the driver's tables; ``oracle`` has the SQL that gives the same rows.
 
-The lexicon is derived from the documents: words in at least LEAST_FILES of them. The queries that have SQL take the words
-of plain lines only; those named all_lines_ take the scanner's words of all lines, and are the whole job.
+The lexicon is derived from the documents: words in at least LEAST_FILES of them. Words are counted by file once, written,
+and both the lexicon and the misses come from that table.
 """
 
 from __future__ import annotations
 
-import string
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spellaudit.functions import keys, similarity
-from spellaudit.functions.scan import scan_lines
-from spellaudit.functions.words import normalize, plain_tokens
+from spellaudit.functions import keys, scan, similarity
+from spellaudit.functions.words import is_plain, normalize, plain_tokens
 from spellaudit.operators import check, correct, directives, select, suggest
 from spellaudit.options import Options
+from spellaudit.plans import oracle
+from spellaudit.plans.oracle import LEAST_FILES, OFF, ON, ONE
 from spellaudit.sources.corpus import from_documents, lines, parse_words, stored
 
-LEAST_FILES = 5
-#: Words of the data that stand for the directives' marker and actions, as the data has no directives.
-ON, OFF, ONE = " and ", " the ", " with "
 RULES = ("*.html", "/en/", "src1?", "de/src2/*.txt")
 
 
-#: Gives the words of the documents.
-Words = Callable[[SparkSession, str], DataFrame]
-
-
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -40,73 +32,123 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.concat(host, F.lit("/"), F.col("page_id").cast("string"), F.element_at(F.array(*map(F.lit, (".html", ".rb", ".js", ".png", ".css"))), (F.col("page_id") % 5 + 1).cast("int"))).alias("path"), F.col("html").alias("content"))
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain_tokens(lines(_documents(spark, sf_dir)))
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, norm and n: the words of all lines of the documents, by file."""
+    words = scan.words(lines(_documents(spark, sf_dir)))
+    return stored(words.groupBy("path", normalize(F.col("text")).alias("norm")).agg(F.count("*").alias("n")))
+
+
+def _lexicon(counted: DataFrame) -> DataFrame:
+    return stored(counted.groupBy(F.col("norm").alias("word")).agg(F.count("*").alias("files")).filter(F.col("files") >= LEAST_FILES))
 
 
-def _all_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, line_no, col, text and case_kind of the scanner's words of all lines; scanned once, as misses need them twice."""
-    return stored(scan_lines(lines(_documents(spark, sf_dir))).drop("kind"))
+def _misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, norm and n of the words that are in no list."""
+    counted = _counted(spark, sf_dir)
+    return check.misses(counted, _lexicon(counted))
 
 
-def _lexicon(tokens: DataFrame) -> DataFrame:
-    each = tokens.select(normalize(F.col("text")).alias("word"), "path").distinct()
-    return each.groupBy("word").agg(F.count("*").alias("files")).filter(F.col("files") >= LEAST_FILES).select("word", "files")
+def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The misses of the documents with their places, and the lexicon."""
+    tokens = stored(scan.scan_lines(lines(_documents(spark, sf_dir))).drop("kind").withColumn("norm", normalize(F.col("text"))))
+    lexicon = _lexicon(tokens.select("path", "norm").distinct())
+    return check.misses(tokens, lexicon), lexicon
 
 
 def line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(_documents(spark, sf_dir))
 
 
-def plain_words(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
-    return words(spark, sf_dir).groupBy("path", "line_no", "text").agg(F.count("*").alias("n"))
+def all_lines_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanner's words of all lines."""
+    return scan.words(lines(_documents(spark, sf_dir))).groupBy("path", "line_no", "text").agg(F.count("*").alias("n"))
 
 
-def normalized_vocab(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
-    return words(spark, sf_dir).select(normalize(F.col("text")).alias("norm")).distinct()
+def word_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanner's words of all lines with their places in bytes."""
+    return scan.scan_lines(lines(_documents(spark, sf_dir))).select("path", "line_no", "col", "text")
 
 
-def derived_lexicon(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
-    return _lexicon(words(spark, sf_dir))
+def normalized_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.words(lines(_documents(spark, sf_dir))).select(normalize(F.col("text")).alias("norm")).distinct()
 
 
-def unknown_words(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
-    tokens = words(spark, sf_dir)
-    return check.unknown_counts(tokens, _lexicon(tokens))
+def derived_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexicon(_counted(spark, sf_dir))
 
 
-def _misses(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
-    tokens = words(spark, sf_dir)
-    return check.misses(tokens, _lexicon(tokens))
+def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _misses(spark, sf_dir).groupBy("norm").agg(F.sum("n").alias("occurrences"), F.count("*").alias("files"))
 
 
-def miss_summary(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
-    return check.summary(_documents(spark, sf_dir), _misses(spark, sf_dir, words))
+def miss_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check.summary(_documents(spark, sf_dir), _misses(spark, sf_dir))
 
 
-def miss_by_path(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
-    return check.by_path(_misses(spark, sf_dir, words))
+def miss_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check.by_path(_misses(spark, sf_dir))
 
 
-def harvested_words(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
-    return check.harvest(_misses(spark, sf_dir, words))
+def harvested_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check.harvest(_misses(spark, sf_dir))
 
 
-def added_words(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
-    tokens = words(spark, sf_dir)
-    lexicon = _lexicon(tokens).select("word", F.lit("derived").alias("wordlist"))
-    return check.add_words(lexicon, check.harvest(check.misses(tokens, lexicon)), "project")
+def added_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = _counted(spark, sf_dir)
+    lexicon = _lexicon(counted).select("word", F.lit("derived").alias("wordlist"))
+    return check.add_words(lexicon, check.harvest(check.misses(counted, lexicon)), "project")
 
 
-def project_misses(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
-    """Unknown words by file where each language's list is of its own files, and one list of all: words of English files by language lists."""
-    docs = _documents(spark, sf_dir)
-    tokens = words(spark, sf_dir)
+def rechecked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Harvest, curate and check again: unknown words in two files or more go to the project's list; what is left, by word."""
+    counted = _counted(spark, sf_dir)
+    lexicon = _lexicon(counted).select("word", F.lit("derived").alias("wordlist"))
+    first = stored(check.misses(counted, lexicon))
+    decisions = first.groupBy("norm").agg(F.count("*").alias("files")).filter("files > 1").select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("int").alias("col"), "norm", F.lit("add").alias("action"), F.lit("*").alias("value"))
+    added = correct.additions(correct.decide(first.select("norm", F.lit("").alias("path"), F.lit(0).alias("line_no"), F.lit(0).alias("col")).distinct(), decisions))
+    again = check.misses(first.drop("wordlists"), lexicon.unionByName(added))
+    return again.groupBy("norm").agg(F.sum("n").alias("n"))
+
+
+def project_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown words by file where each language's list is of its own files."""
+    counted = _counted(spark, sf_dir)
     lang = F.substring_index("path", "/", 1)
-    each = tokens.select(normalize(F.col("text")).alias("word"), lang.alias("wordlist"), "path").distinct()
-    lexicon = each.groupBy("word", "wordlist").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_FILES).select("word", "wordlist")
-    files = docs.select("path", F.array(lang).alias("wordlists"))
-    return check.misses(tokens, lexicon, files).groupBy("path", "norm").agg(F.count("*").alias("n"))
+    each = counted.select(F.col("norm").alias("word"), lang.alias("wordlist"))
+    lexicon = stored(each.groupBy("word", "wordlist").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_FILES).select("word", "wordlist"))
+    files = _documents(spark, sf_dir).select("path", F.array(lang).alias("wordlists"))
+    return check.misses(counted, lexicon, files).groupBy("path", "norm").agg(F.sum("n").alias("n"))
+
+
+def corpus_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole check of the documents: files by rules, lines by directives, the scanner's words against each file's lists and the project's."""
+    corpus = _documents(spark, sf_dir)
+    lexicon = _lexicon(_counted(spark, sf_dir)).select("word", F.lit("english").alias("wordlist"))
+    project = scan.words(lines(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("path"), F.col("text").alias("content"))))
+    lists = stored(lexicon.unionByName(project.select(normalize(F.col("text")).alias("word"), F.lit("*").alias("wordlist")).distinct()))
+    return check.check_corpus(corpus, lists, Options(more_excludes=RULES)).select("path", "line_no", "col", "text", "norm")
+
+
+def page_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole check of the pages as source files, by languages' lists and with keys passed over; words of five pages or more of a list's files are in it."""
+    corpus, options = _pages(spark, sf_dir), Options()
+    listed = select.select_files(corpus, options).select("path", F.explode(select.wordlists(options)).alias("wordlist"))
+    model = keys.KeyModel.from_params(_key_params(spark, sf_dir))
+    tokens = scan.words(directives.checked_lines(corpus, options.marker), model=model)
+    each = tokens.select("path", normalize(F.col("text")).alias("word")).distinct().join(listed.filter("wordlist not like 'english%'"), "path")
+    lexicon = stored(each.groupBy("word", "wordlist").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_FILES).select("word", "wordlist"))
+    return check.check_corpus(corpus, lexicon, options, model=model).groupBy("path", "norm").agg(F.count("*").alias("n"))
+
+
+def plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the lines that need no scanner, by one short expression: a cross-check of the scanner."""
+    return plain_tokens(lines(_documents(spark, sf_dir))).groupBy("path", "line_no", "text").agg(F.count("*").alias("n"))
+
+
+def scanned_plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanner on the same lines gives the same words."""
+    found = scan.words(lines(_documents(spark, sf_dir)).filter(is_plain(F.col("line"))))
+    return found.groupBy("path", "line_no", "text").agg(F.count("*").alias("n"))
 
 
 def selected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,16 +179,35 @@ def key_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.candidates(lines(_documents(spark, sf_dir)))
 
 
-def _classes(spans: DataFrame) -> DataFrame:
-    """A class for each span by its form: of a model's training data, where none is given."""
-    kind = F.when(F.col("span").rlike("^[0-9A-Fa-f-]*$"), "hex").when(F.col("span").rlike("^[0-9a-z]*$"), "lower36").when(F.col("span").rlike("^[0-9A-Z]*$"), "upper36").otherwise("base64")
-    return spans.withColumn("class", F.concat(F.when(F.length("span") >= 20, "key_").otherwise("not_key_"), kind))
+def _key_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters of the key model, fitted to spans made from the documents: digests in each of the four alphabets are keys, names with numbers are not."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    digest = F.sha2(F.concat("id", "text"), 256)
+    size = F.pmod(F.xxhash64("id"), F.lit(33)).cast("int") + 16
+    part = lambda i: F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 36)
+    coded = F.concat(*(part(i) for i in range(5)))
+    found = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,9}"), F.lit(0))
+    docs = docs.withColumn("words", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("name"))))
+    word = lambda i: F.lower(F.get("words", F.pmod(F.xxhash64("id", F.lit(i)), F.size("words")).cast("int")))
+    number = F.pmod(F.xxhash64("text"), F.lit(1000)).cast("string")
+    spans = {
+        "key_hex": F.substr(digest, F.lit(1), size),
+        "key_base64": F.substr(F.base64(F.unhex(digest)), F.lit(1), size),
+        "key_lower36": F.substr(F.lower(coded), F.lit(1), size),
+        "key_upper36": F.substr(F.upper(coded), F.lit(1), size),
+        "not_key_hex": F.concat(F.substring(number, 1, 2), F.lit("-"), F.translate(F.substring(word(0), 1, 4), "ghijklmnopqrstuvwxyz", "abcdefabcdefabcdefab"), F.lit("-"), number),
+        "not_key_lower36": F.concat(word(0), number, word(1)),
+        "not_key_upper36": F.upper(F.concat(word(1), number, word(2))),
+        "not_key_base64": F.concat(F.initcap(word(0)), number, F.lit("_"), F.initcap(word(2)), word(3)),
+    }
+    each = stored(docs.select(F.explode(F.array(*(F.struct(F.lit(name).alias("class"), span.alias("span")) for name, span in spans.items()))).alias("s")).select("s.*").distinct())
+    return keys.fit_params(keys.feature_rows(each).join(each, "span").select("class", "features"))
 
 
 def key_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = key_candidates(spark, sf_dir).select("span")
-    labelled = _classes(keys.feature_rows(spans)).select("class", "features")
-    return keys.classify(spans, keys.fit_params(labelled))
+    """The places of spans that may be keys, with what a model that was fitted to other spans says of them."""
+    found = stored(key_candidates(spark, sf_dir).unionByName(keys.candidates(lines(_pages(spark, sf_dir)))))
+    return found.join(keys.classify(found.select("span"), stored(_key_params(spark, sf_dir))), "span")
 
 
 def key_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,72 +217,61 @@ def key_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scanned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words by the scanner over all lines of pages: URLs, entities and tags."""
-    return scan_lines(lines(_pages(spark, sf_dir)), skips=True).groupBy("path", "kind", "case_kind").agg(F.count("*").alias("n"))
-
-
-def scanned_plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scanner on plain lines gives the words of the plain route."""
-    from spellaudit.functions.words import is_plain
-
-    found = scan_lines(lines(_documents(spark, sf_dir)).filter(is_plain(F.col("line"))))
-    return found.groupBy("path", "line_no", "text").agg(F.count("*").alias("n"))
-
-
-def _scanned_misses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents, the misses of all their lines and their lexicon."""
-    tokens = _all_tokens(spark, sf_dir)
-    lexicon = stored(_lexicon(tokens))
-    return _documents(spark, sf_dir), stored(check.misses(tokens, lexicon)), lexicon
+    """Words and what is passed over, by the scanner over all lines of pages: URLs, entities, tags and keys."""
+    model = keys.KeyModel.from_params(_key_params(spark, sf_dir))
+    return scan.scan_lines(lines(_pages(spark, sf_dir)), skips=True, model=model).groupBy("path", "kind", "case_kind").agg(F.count("*").alias("n"))
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found, lexicon = _scanned_misses(spark, sf_dir)
-    return suggest.suggestions(found, lexicon).select("norm", "case_kind", F.array_join("suggestions", ",").alias("suggestions"))
+    found, lexicon = _places(spark, sf_dir)
+    return suggest.suggestions(found.select("norm", "case_kind").distinct(), lexicon).select("norm", "case_kind", F.array_join("suggestions", ",").alias("suggestions"))
 
 
 def autocorrected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus, found, lexicon = _scanned_misses(spark, sf_dir)
-    return correct.apply_fixes(corpus, correct.top_fixes(found, suggest.suggestions(found, lexicon)))
+    found, lexicon = _places(spark, sf_dir)
+    found = stored(found)
+    return correct.apply_fixes(_documents(spark, sf_dir), correct.top_fixes(found, suggest.suggestions(found.select("norm", "case_kind").distinct(), lexicon)))
 
 
-def decided_misses(spark: SparkSession, sf_dir: str, words: Words = _tokens) -> DataFrame:
+def decided_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Misses after decisions from the data: words of four letters are skipped, of five replaced, of six added."""
-    found = _misses(spark, sf_dir, words)
-    found = found if "col" in found.columns else found.withColumn("col", F.lit(0))
+    found = stored(_misses(spark, sf_dir).withColumn("line_no", F.lit(0)).withColumn("col", F.lit(0)))
     size = F.length("norm")
     action = F.when(size == 4, "skip").when(size == 5, "replace").when(size == 6, "add")
     decisions = found.select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("int").alias("col"), "norm", action.alias("action"), F.reverse("norm").alias("value")).filter("action is not null").distinct()
-    return correct.decide(found, decisions).groupBy("action").agg(F.count("*").alias("n"), F.countDistinct("norm").alias("words"))
+    return correct.decide(found, decisions).groupBy("action").agg(F.sum("n").alias("n"), F.countDistinct("norm").alias("words"))
 
 
-def miss_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context of the first place of each unknown word in its line, on plain lines."""
-    numbered = lines(_documents(spark, sf_dir))
-    found = _misses(spark, sf_dir).select("path", "line_no", "text").distinct()
-    at = found.join(numbered, ["path", "line_no"]).select("path", "line_no", (F.instr("line", F.col("text")) - 1).alias("col"), "text")
-    return check.with_context(at, numbered).select("place", "before", "word", "after")
+def replaced_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents after a reviewer's decisions: unknown words of five letters are turned round, wherever they are."""
+    found, _ = _places(spark, sf_dir)
+    found = stored(found)
+    decisions = found.filter(F.length("norm") == 5).select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("int").alias("col"), "norm", F.lit("replace").alias("action"), F.reverse("norm").alias("value")).distinct()
+    return correct.apply_fixes(_documents(spark, sf_dir), correct.replacements(correct.decide(found, decisions)))
 
 
-def all_lines_miss_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context of the first place of each unknown word in its line, on all lines; the place is the scanner's."""
-    at = _misses(spark, sf_dir, _all_tokens).groupBy("path", "line_no", "text").agg(F.min("col").alias("col"))
-    return check.with_context(at, lines(_documents(spark, sf_dir))).select("place", "before", "word", "after")
+def miss_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place and context of each miss, on all lines."""
+    found, _ = _places(spark, sf_dir)
+    return check.with_context(found, lines(_documents(spark, sf_dir))).select("place", "before", "word", "after")
 
 
 def close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of part names with each other: similarity and edit distance."""
-    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
+    """The pairs of words of the documents that are an edit apart, a swap of neighbours included, with their similarity.
+
+    Such words are equal once a character at most is taken from each: that is the key of the join.
+    """
+    words = stored(normalized_vocab(spark, sf_dir).select(F.col("norm").alias("word")))
+    shorter = F.concat(F.array("word"), F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.overlay("word", F.lit(""), i, F.lit(1))))
+    keyed = words.select("word", F.explode(F.array_distinct(shorter)).alias("key"))
+    pairs = keyed.select("key", F.col("word").alias("a")).join(keyed.select("key", F.col("word").alias("b")), "key").filter("a < b").select("a", "b").distinct()
 
     def run(frames):
         for f in frames:
-            f["jw"] = [round(similarity.jaro_winkler(a, b, floor_transpositions=True), 6) for a, b in zip(f["a"], f["b"], strict=True)]
-            f["within_one"] = [similarity.edit_distance(a, b) <= 1 for a, b in zip(f["a"], f["b"], strict=True)]
-            yield f
+            near = f[[similarity.edit_distance(a, b) <= 1 for a, b in zip(f["a"], f["b"], strict=True)]]
+            yield near.assign(jw=[round(similarity.jaro_winkler(a, b), 6) for a, b in zip(near["a"], near["b"], strict=True)])
 
-    first = F.substring("word", 1, 1)
-    left, right = names.select(first.alias("k"), F.col("word").alias("a")), names.select(first.alias("k"), F.col("word").alias("b"))
-    return left.join(right, "k").filter("a < b").select("a", "b").mapInPandas(run, "a string, b string, jw double, within_one boolean")
+    return pairs.mapInPandas(run, "a string, b string, jw double")
 
 
 def language_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,53 +280,15 @@ def language_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_words(docs.select(F.coalesce("lang", F.lit("-")).alias("wordlist"), F.col("text").alias("content"))).distinct()
 
 
-_RUNS = "|".join(c * 3 for c in string.ascii_letters)
-_DOCS = "docs AS (SELECT coalesce(lang,'-') || '/' || coalesce(source,'-') || '/' || doc_id || '.txt' AS path, text AS content FROM documents)"
-_LINES = f"{_DOCS}, lines AS (SELECT path, CAST(generate_subscripts(string_split(content, chr(10)), 1) AS INTEGER) AS line_no, unnest(string_split(content, chr(10))) AS line FROM docs WHERE content NOT LIKE '%' || chr(0) || '%')"
-_TOKENS = f"{_LINES}, plain AS (SELECT * FROM lines WHERE regexp_full_match(line, '[A-Za-z ,.]*') AND NOT regexp_matches(line, '{_RUNS}|[A-Z]{{2}}|[aA][bB][cC]')), tokens AS (SELECT * FROM (SELECT path, line_no, unnest(regexp_extract_all(line, '[A-Z]?[a-z]+')) AS text FROM plain) WHERE length(text) >= 3)"
-_LEXICON = f"{_TOKENS}, lexicon AS (SELECT lower(text) AS word, count(DISTINCT path) AS files FROM tokens GROUP BY 1 HAVING count(DISTINCT path) >= {LEAST_FILES})"
-_MISSES = f"{_LEXICON}, misses AS (SELECT t.*, lower(text) AS norm FROM tokens t ANTI JOIN lexicon l ON lower(t.text) = l.word)"
-_PAGES = "pg AS (SELECT regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') || '/' || page_id || ['.html','.rb','.js','.png','.css'][page_id % 5 + 1] AS path, html AS content FROM pages)"
-_SPANS = f"{_LINES}, runs AS (SELECT path, line_no, unnest(regexp_extract_all(line, '[A-Za-z0-9][A-Za-z0-9_/+-]*=*')) AS span FROM lines), spans AS (SELECT * FROM runs WHERE regexp_matches(regexp_replace(span, '[-_/+=]', '', 'g'), '[A-Za-z][0-9]+[A-Za-z]|[0-9][A-Za-z]+[0-9]') AND length(span) >= 6 AND (length(span) > 200 OR length(regexp_replace(span, '[^A-Za-z]', '', 'g')) >= 3))"
-
-SQL = {
-    "line_split": f"WITH {_LINES} SELECT path, line_no, line FROM lines",
-    "plain_words": f"WITH {_TOKENS} SELECT path, line_no, text, count(*) AS n FROM tokens GROUP BY ALL",
-    "scanned_plain_words": f"WITH {_TOKENS} SELECT path, line_no, text, count(*) AS n FROM tokens GROUP BY ALL",
-    "normalized_vocab": f"WITH {_TOKENS} SELECT DISTINCT lower(text) AS norm FROM tokens",
-    "derived_lexicon": f"WITH {_LEXICON} SELECT word, files FROM lexicon",
-    "unknown_words": f"WITH {_MISSES} SELECT norm, count(*) AS occurrences, count(DISTINCT path) AS files FROM misses GROUP BY norm",
-    "miss_summary": f"WITH {_MISSES} SELECT (SELECT count(*) FROM docs) AS files_checked, (SELECT count(*) FROM misses) AS misses_found",
-    "miss_by_path": f"WITH {_MISSES} SELECT path, count(*) AS misses FROM misses GROUP BY path",
-    "harvested_words": f"WITH {_MISSES} SELECT DISTINCT norm AS word FROM misses",
-    "added_words": f"WITH {_MISSES} SELECT word, 'derived' AS wordlist FROM lexicon UNION SELECT norm, 'project' FROM misses",
-    "project_misses": f"WITH {_TOKENS}, t AS (SELECT path, split_part(path, '/', 1) AS lang, lower(text) AS norm FROM tokens), lex AS (SELECT norm, lang FROM t GROUP BY 1, 2 HAVING count(DISTINCT path) >= {LEAST_FILES}) SELECT path, norm, count(*) AS n FROM t ANTI JOIN lex USING (norm, lang) GROUP BY path, norm",
-    "selected_files": f"WITH {_PAGES} SELECT path FROM pg WHERE NOT path LIKE '%.png'",
-    "rule_selected_files": f"WITH {_DOCS} SELECT path FROM docs WHERE NOT (path LIKE 'en/%' OR regexp_matches(path, '/src1[^/]/') OR regexp_full_match(path, 'de/src2/[^/]*\\.txt'))",
-    "nested_rules": f"WITH {_DOCS} SELECT DISTINCT path FROM docs WHERE regexp_extract(split_part(path, '/', 2), '[0-9]') <> '' AND path LIKE '%' || regexp_extract(split_part(path, '/', 2), '[0-9]') || '.txt'",
-    "file_wordlists": f"WITH {_PAGES} SELECT path, 'english,english/US' || CASE WHEN path LIKE '%.rb' THEN ',ruby,html' WHEN path LIKE '%.html' THEN ',html,javascript,xml' WHEN path LIKE '%.js' THEN ',html,javascript' WHEN path LIKE '%.css' THEN ',html,css' ELSE '' END || ',tool_terms' AS wordlists FROM pg",
-    "directive_gate": f"WITH {_LINES}, e AS (SELECT *, CASE WHEN contains(line, '{ON}') THEN 'E' WHEN contains(line, '{OFF}') AND NOT contains(line, '{ONE}') THEN 'D' END AS ev FROM lines), s AS (SELECT *, last_value(ev IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st FROM e) SELECT path, line_no, line FROM s WHERE coalesce(st, 'E') <> 'D' AND NOT contains(line, '{ONE}')",
-    "key_candidates": f"WITH {_SPANS} SELECT path, line_no, span FROM spans",
-    "key_features": f"""WITH {_SPANS}, d AS (SELECT DISTINCT span FROM spans),
-      f AS (SELECT span, CAST(length(span) AS DOUBLE) AS length, regexp_full_match(span, '[0-9A-Fa-f-]*') AS is_hex, regexp_full_match(span, '[0-9a-z]*') AS is_low, regexp_full_match(span, '[0-9A-Z]*') AS is_up,
-        list_transform(regexp_extract_all(span, '[A-Za-z]+'), lambda x: length(x)) AS al, list_transform(regexp_extract_all(span, '[0-9]+'), lambda x: length(x)) AS di, length(regexp_replace(span, '[^aeiouAEIOU]', '', 'g')) AS v,
-        length(regexp_replace(span, '[^A-Za-z]|[aeiouAEIOUxX]', '', 'g')) AS c, CAST(len(regexp_extract_all(span, '[A-Za-z0-9]+')) AS DOUBLE) AS alnum_chunks, length(regexp_replace(span, '[^q]', '', 'g')) AS q FROM d)
-      SELECT span, length, CAST(is_hex AS DOUBLE) AS hex, round(list_avg(al), 6) AS mean_alpha, round(list_var_pop(di), 6) AS variance_digit, round(CASE WHEN c > 0 THEN v / c ELSE v END, 6) AS vowel_ratio, alnum_chunks,
-        round(abs(q / length - length / CASE WHEN is_hex THEN 16 WHEN is_low THEN 36 WHEN is_up THEN 36 ELSE 64 END), 6) AS difference_q FROM f""",
-    "decided_misses": f"WITH {_MISSES} SELECT CASE length(norm) WHEN 4 THEN 'skip' WHEN 5 THEN 'replace' WHEN 6 THEN 'add' END AS action, count(*) AS n, count(DISTINCT norm) AS words FROM misses GROUP BY 1",
-    "miss_context": f"WITH {_MISSES}, m AS (SELECT DISTINCT path, line_no, text FROM misses), p AS (SELECT m.*, line, instr(line, text) - 1 AS col FROM m JOIN lines USING (path, line_no)) SELECT path || ':' || line_no || ':' || col AS place, ltrim(left(line, col), ' ' || chr(9)) AS before, text AS word, rtrim(substr(line, col + length(text) + 1), ' ' || chr(9) || chr(13) || chr(10)) AS after FROM p",
-    "close_pairs": "WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS x FROM part) SELECT a.x AS a, b.x AS b, round(jaro_winkler_similarity(a.x, b.x), 6) AS jw, damerau_levenshtein(a.x, b.x) <= 1 AS within_one FROM w a JOIN w b ON left(a.x, 1) = left(b.x, 1) AND a.x < b.x",
-    "language_words": "SELECT DISTINCT word, wordlist FROM (SELECT trim(unnest(string_split(text, chr(10))), chr(13) || ' ') AS word, coalesce(lang, '-') AS wordlist FROM documents) WHERE word <> ''",
-}
-
-QUERIES = (line_split, plain_words, normalized_vocab, derived_lexicon, unknown_words, miss_summary, miss_by_path, harvested_words, added_words, project_misses, selected_files, rule_selected_files, nested_rules, file_wordlists, directive_gate, key_candidates, key_features, key_classes, scanned_words, scanned_plain_words, suggestions, autocorrected, decided_misses, miss_context, all_lines_miss_context, close_pairs, language_words)
-#: With the words of all lines these are registered once more, without SQL: it has no scanner.
-OF_WORDS = {"words": plain_words} | {f.__name__: f for f in (normalized_vocab, derived_lexicon, unknown_words, miss_summary, miss_by_path, harvested_words, added_words, project_misses, decided_misses)}
+QUERIES = (
+    line_split, all_lines_words, word_places, normalized_vocab, derived_lexicon, unknown_words, miss_summary, miss_by_path, harvested_words, added_words, rechecked, project_misses, corpus_misses, page_misses, plain_words, scanned_plain_words,
+    selected_files, rule_selected_files, nested_rules, file_wordlists, directive_gate, key_candidates, key_features, key_classes, scanned_words, suggestions, autocorrected, decided_misses, replaced_words, miss_context, close_pairs, language_words,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES} | {f"all_lines_{name}": partial(f, words=_all_tokens) for name, f in OF_WORDS.items()}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(oracle.SQL)

@@ -1,7 +1,7 @@
 import pytest
 
 from spellaudit.functions import keys, similarity
-from spellaudit.functions.scan import scan, url_end
+from spellaudit.functions.scan import scan
 
 CASES = [
     ("hello world", False, ["hello", "world"]),
@@ -42,8 +42,8 @@ def test_kinds():
 
 def test_urls():
     for url in ("user:pw@host.org/x", "example.com/a?b=c#d", "mailto:me@example.com", "localhost/path"):
-        assert url_end(url, 0) == len(url)
-    assert url_end("plain.text here", 0) == 0
+        assert [(at, t, kind) for at, t, _, kind in scan(url, skips=True)] == [(0, url, "url")]
+    assert all(kind == "word" for _, _, _, kind in scan("plain.text here", skips=True))
 
 
 def test_similarity():
