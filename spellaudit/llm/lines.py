@@ -10,8 +10,9 @@ characters is split into two segments, and a line of L or L + 1 characters that
 that its own length gives. So the index has, by L and segment, the rest of the line as a key, and a line probes the
 lengths L and L - 1. A key with up to ``bucket`` lines is compared pair by pair; a larger one halves the part that may
 differ, level by level, until few lines share the rest. When one character or none is left to differ, the
-earliest line for each such character decides. Pairs are verified by banded bit-parallel edit
-distance: a mask of the band's matches moves one bit vector for each number of edits.
+earliest line for each such character decides. Keys are hashes, so of a pair the rest of the lines is compared, then the
+parts that may differ by banded bit-parallel edit distance: a mask of the band's matches moves one bit vector for each
+number of edits.
 
 All steps are column functions and joins. Null text gives no lines, is left as it is and counts as zero lines. An empty
 text has one empty line. Repeated rows of one id and text are copies: ties of (id, place) leave both, since neither is
@@ -39,15 +40,18 @@ def within(a: Column | str, b: Column | str, k: int = 1) -> Column:
     width, one = 2 * k + 1, F.lit(1).cast("bigint")
     full = F.lit((1 << width) - 1).cast("bigint")
     start = F.struct(*(F.lit(((1 << e + 1) - 1) << k).cast("bigint").alias(f"r{e}") for e in range(k + 1)))
-    chars = F.split(a, "")
-    n = F.char_length(a)
+    none = F.array_repeat(F.lit(None).cast("string"), k)
+    chars = lambda x: F.when(F.char_length(x) > 0, F.split(x, "")).otherwise(F.array().cast("array<string>"))
+    padded = F.concat(none, chars(a), none)
+    # each character of b beside those of a under the band, so that no step looks anything up
+    n = F.char_length(b)
+    beside = F.arrays_zip(chars(b).alias("c"), *(F.slice(padded, d + 1, F.greatest(n, F.lit(1))).alias(f"a{d}") for d in range(width)))
+    read = F.slice(beside, 1, n)
 
     def step(state: Column, x: Column) -> Column:
-        # x.i counts from 0; a's character under diagonal d is at i + d - k
         match = F.lit(0).cast("bigint")
         for d in range(width):
-            at = x["i"] + (d - k)
-            match = match.bitwiseOR(F.when((at >= 0) & (at < n) & (F.get(chars, at) == x["c"]), one * (1 << d)).otherwise(F.lit(0).cast("bigint")))
+            match = match.bitwiseOR(F.when(x[f"a{d}"] == x["c"], one * (1 << d)).otherwise(F.lit(0).cast("bigint")))
         out, before = [], None
         for e in range(k + 1):
             was = state[f"r{e}"]
@@ -59,9 +63,8 @@ def within(a: Column | str, b: Column | str, k: int = 1) -> Column:
             before = now
         return F.struct(*out)
 
-    read = F.transform(F.split(b, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
     gap = F.char_length(a) - F.char_length(b)
-    final = F.aggregate(F.when(F.char_length(b) > 0, read).otherwise(F.slice(read, 1, 0)), start, step)
+    final = F.aggregate(read, start, step)
     bit = F.element_at(F.array(*(one * (1 << d) for d in range(width))), F.when(F.abs(gap) <= k, (gap + k + 1).cast("int")).otherwise(1))
     return (F.abs(gap) <= k) & (final[f"r{k}"].bitwiseAND(bit) != 0)
 
@@ -85,28 +88,47 @@ def _key(level: int, part: Column, delta: Column) -> list[Column]:
     return [key.alias("key"), begin.alias("begin"), (end - begin).alias("open")]
 
 
+def _rest(line: str, delta: Column) -> list[Column]:
+    """What a line has before and after its open part."""
+    return [F.substr(F.col(line), F.lit(1), F.col("begin")), F.substr(F.col(line), F.col("begin") + F.col("open") + delta + 1)]
+
+
 def _tight(many: DataFrame) -> DataFrame:
     """id of lines with an earlier one within an edit, in keys where a base may differ in one character at most.
 
     All bases of a key are near each other. A line a character longer is near a base that it equals without one of the
-    characters of its part.
+    characters of its part. The rest of the lines is told by its MD5 besides the key.
     """
     part = F.substr(F.col("line"), F.col("begin") + 1, F.col("open") + F.col("delta"))
     without = F.when(F.col("delta") == 0, F.array(part)).otherwise(F.transform(F.sequence(F.lit(0), F.col("open")), lambda i: F.overlay(part, F.lit(""), i + 1, F.lit(1))))
-    rows = many.select("key", "id", "first", "delta", F.explode(F.array_distinct(without)).alias("mid"))
+    before, after = _rest("line", F.col("delta"))
+    told = F.struct("key", F.md5(F.encode(before, "UTF-8")).alias("before"), F.md5(F.encode(after, "UTF-8")).alias("after")).alias("key")
+    rows = many.select(told, "id", "first", "delta", F.explode(F.array_distinct(without)).alias("mid"))
     bases = rows.filter("delta = 0").groupBy("key").agg(F.min("first").alias("any"))
     same = rows.groupBy("key", "mid").agg(F.min(F.when(F.col("delta") == 0, F.col("first"))).alias("base"), F.min(F.when(F.col("delta") == 1, F.col("first"))).alias("longer"))
     return rows.join(bases, "key").join(same, ["key", "mid"]).filter("(delta = 0 and (first > any or first > longer)) or (delta = 1 and first > base)").select("id")
 
 
+def _one_part(a: str, b: str, delta: Column, parts: int = 8) -> Column:
+    """Whether two strings, the second ``delta`` longer, can be equal outside one of so many parts: most pairs end here."""
+    a, b, out = F.col(a), F.col(b), F.lit(False)
+    for j in range(parts):
+        begin, end = (F.floor(F.char_length(a) * k / parts).cast("int") for k in (j, j + 1))
+        out = out | ((F.substr(a, F.lit(1), begin) == F.substr(b, F.lit(1), begin)) & (F.substr(a, end + 1) == F.substr(b, end + delta + 1)))
+    return out
+
+
 def _near(shared: DataFrame, bucket: int) -> DataFrame:
     """id of lines with an earlier one within an edit, of what the keys of a level show; rows have the lines' texts."""
     few = shared.filter(F.col("size") <= bucket)
-    open_part = F.substr(F.col("line"), F.col("begin") + 1, F.col("open") + F.col("delta"))
-    base = few.filter("delta = 0").select("key", F.col("id").alias("a"), F.col("first").alias("fa"), open_part.alias("pa"))
-    pairs = few.select("key", F.col("id").alias("b"), F.col("first").alias("fb"), open_part.alias("pb"), "delta").join(base, "key").filter("a != b and (delta = 1 or fa < fb)")
-    # the rest of the lines is equal; the built-in bounded distance spares most pairs the bit vectors
-    near = pairs.filter((F.levenshtein("pa", "pb", 1) >= 0) & within("pa", "pb", 1))
+    base = few.filter("delta = 0").select("key", F.col("id").alias("a"), F.col("first").alias("fa"), F.col("line").alias("la"))
+    pairs = few.select("key", F.col("id").alias("b"), F.col("first").alias("fb"), F.col("line").alias("lb"), "delta", "begin", "open").join(base, "key").filter("a != b and (delta = 1 or fa < fb)")
+    # keys are hashes: the rest of the lines must be equal, then the open parts are compared
+    (xa, ya), (xb, yb) = _rest("la", F.lit(0)), _rest("lb", F.col("delta"))
+    open_ = lambda line, delta: F.substr(F.col(line), F.col("begin") + 1, F.col("open") + delta)
+    equal = pairs.filter((F.char_length("la") + F.col("delta") == F.char_length("lb")) & (xa == xb) & (ya == yb))
+    parts = equal.withColumn("pa", open_("la", F.lit(0))).withColumn("pb", open_("lb", F.col("delta")))
+    near = parts.filter(_one_part("pa", "pb", F.col("delta"))).filter(within("pa", "pb", 1))
     found = near.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id"))
     return found.unionByName(_tight(shared.filter((F.col("size") > bucket) & (F.col("open") <= 1))))
 
@@ -158,23 +180,35 @@ def removed_places(docs: DataFrame, *, threshold: int = 1, min_chars: int = MIN_
     return gone.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
 
 
-def rebuilt(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of docs with ``_lines`` (all lines), ``_gone`` (places) and ``_text`` (what stays, joined by line feeds)."""
-    places = written(removed_places(docs.select("doc_id", "text"), **options), name="gone").withColumnRenamed("gone", "_gone")
-    joined = docs.join(places.hint("merge"), "doc_id", "left").withColumn("_lines", F.split("text", "\n", -1))
-    kept = F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i))
-    return joined.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A name that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def rebuilt(docs: DataFrame, **options: int) -> tuple[DataFrame, str, str, str]:
+    """The rows of docs with all their lines, the places of those that go and what stays, joined by line feeds; and the three columns' names."""
+    lines_, gone, kept = (_fresh(docs, f"_{x}") for x in ("lines", "gone", "kept"))
+    places = written(removed_places(docs.select("doc_id", "text"), **options), name="gone").withColumnRenamed("gone", gone)
+    joined = docs.join(places.hint("merge"), "doc_id", "left").withColumn(lines_, F.split("text", "\n", -1))
+    # the places that stay, by one pass over a document's lines
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), F.col(gone)))
+    text = F.array_join(F.transform(stay, lambda i: F.get(F.col(lines_), i)), "\n")
+    return joined.withColumn(kept, F.when(F.col(gone).isNull(), F.col("text")).otherwise(text)), lines_, gone, kept
 
 
 def line_report(docs: DataFrame, **options: int) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 (of the text that stays) of each document."""
-    done = rebuilt(docs.select("doc_id", "text"), **options)
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    n_gone = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
-    return done.select("doc_id", n_lines.alias("n_lines"), n_gone.alias("n_removed"), F.sha2(F.coalesce("_text", F.lit("")), 256).alias("kept_sha256"))
+    done, lines_, gone, kept = rebuilt(docs.select("doc_id", "text"), **options)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_)).cast("long")
+    n_gone = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")
+    return done.select("doc_id", n_lines.alias("n_lines"), n_gone.alias("n_removed"), F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"))
 
 
 def dedup_lines(docs: DataFrame, **options: int) -> DataFrame:
     """The documents with the text that stays; those that lose all their lines go. Ids must be unique."""
-    done = rebuilt(docs, **options).filter(F.col("_gone").isNull() | (F.size("_gone") < F.size("_lines")))
-    return done.select(*(F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    done, lines_, gone, kept = rebuilt(docs, **options)
+    left = done.filter(F.col(gone).isNull() | (F.size(gone) < F.size(lines_)))
+    return left.select(*(F.col(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
