@@ -30,12 +30,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spellaudit.llm.common import written
+from spellaudit.llm.common import skewed_join, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE, TREES, DEPTH, SMALL = 5, 16, 5, 24
 #: Longs of the parity sketch, 64 buckets each.
 PARITY = 16
+#: Times that a node that is large at the last level is branched on.
+AGAIN = 4
+#: Pairs for which a document's text is sent once.
+PAIRS = 500
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -61,10 +65,10 @@ def minwise(tokens: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, *, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """doc_id, n_shingles, whole (hash of the set), nodes (trees x depth names) and odd (the parity sketch)."""
+def signatures(docs: DataFrame, *, trees: int = TREES, depth: int = DEPTH, first: int = 0) -> DataFrame:
+    """doc_id, n_shingles, whole (hash of the set), nodes (trees x depth names) and odd (the parity sketch); first: the first hash to use."""
     kind = dict(docs.dtypes)["doc_id"]
-    seeds = _seeds(trees * depth)
+    seeds = _seeds(first + trees * depth)[first:]
     mixer = np.uint64(0x9E3779B97F4A7C15)
 
     def paths(tokens: np.ndarray) -> np.ndarray:
@@ -90,20 +94,38 @@ def signatures(docs: DataFrame, *, trees: int = TREES, depth: int = DEPTH) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, whole binary, nodes array<long>, odd array<long>")
 
 
-def candidate_nodes(sets: DataFrame, *, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
-    """node, a, size: the members of the nodes where branching ends, of two documents at least."""
+def _branched(live: DataFrame, levels: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """From (a, path, node): the members (node, a, size) of the small nodes, and of those that are large where the path ends."""
+    ended = None
+    for level in range(levels):
+        sizes = written(live.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), name="sizes")
+        # the members of a large node stay spread
+        live = written(skewed_join(live, sizes, "node", "size"), name="nodes")
+        few = live.filter(F.col("size") <= small).select("node", "a", "size")
+        ended = few if ended is None else ended.unionByName(few)
+        large = live.filter(F.col("size") > small)
+        if level < levels - 1:
+            live = large.drop("size", "node").withColumn("node", F.col("path")[level + 1])
+    return ended, large.select("node", "a", "size")
+
+
+def candidate_nodes(sets: DataFrame, docs: DataFrame, *, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
+    """node, a, size: the members of the nodes where branching ends, of two documents at least.
+
+    Nodes that are large at the last level branch on by fresh hashes, ``AGAIN`` times independently. What is large after
+    that holds sets that are nearly equal.
+    """
     at = sets.select(F.col("doc_id").alias("a"), "nodes", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     live = at.select("a", F.slice("nodes", F.col("tree") * depth + 1, depth).alias("path")).withColumn("node", F.col("path")[0])
-    ended = None
-    for level in range(depth):
-        sizes = live.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        live = written(live.join(sizes, "node"), name="nodes")
-        last = level == depth - 1
-        stays = live.select("node", "a", "size") if last else live.filter(F.col("size") <= small).select("node", "a", "size")
-        ended = stays if ended is None else ended.unionByName(stays)
-        if not last:
-            live = live.filter(F.col("size") > small).drop("size", "node").withColumn("node", F.col("path")[level + 1])
-    return ended
+    ended, large = _branched(live, depth, small)
+    if large.isEmpty():
+        return ended
+    fresh = signatures(docs.join(large.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"), trees=AGAIN, depth=depth, first=trees * depth)
+    fresh = written(fresh.groupBy(F.col("doc_id").alias("a")).agg(F.any_value("nodes").alias("nodes")), name="fresh")
+    again = large.select("a", F.col("node").alias("above")).join(fresh, "a").select("a", "above", "nodes", F.explode(F.sequence(F.lit(0), F.lit(AGAIN - 1))).alias("tree"))
+    live = again.select("a", F.transform(F.slice("nodes", F.col("tree") * depth + 1, depth), lambda x: F.xxhash64("above", x)).alias("path")).withColumn("node", F.col("path")[0])
+    more, last = _branched(live, depth, small)
+    return ended.unionByName(more).unionByName(last)
 
 
 def possible(a: str, b: str, percent: int) -> Column:
@@ -112,12 +134,21 @@ def possible(a: str, b: str, percent: int) -> Column:
     return d * (100 + percent) <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with both texts. A document of many pairs is sent once for each ``PAIRS`` of them, so they stay spread."""
+    texts, sent = docs.select("doc_id", "text"), {}
+    for side, other in (("a", "b"), ("b", "a")):
+        counts = written(pairs.groupBy(side).agg(F.count("*").alias("n")), name="counts")
+        copies = F.ceil(F.col("n") / PAIRS).cast("int")
+        pairs = written(skewed_join(pairs, counts, side, "n").withColumn(f"salt_{side}", F.pmod(F.xxhash64(other), copies).cast("int")).drop("n"), name="dealt")
+        sent[side] = texts.toDF(side, f"t{side}").join(counts, side).select(side, f"t{side}", F.explode(F.sequence(F.lit(0), copies - 1)).alias(f"salt_{side}"))
+    return pairs.join(sent["a"], ["a", "salt_a"]).join(sent["b"], ["b", "salt_b"])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, *, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     kind = dict(pairs.dtypes)["a"]
-    texts = docs.select("doc_id", "text")
-    left = pairs.join(texts.toDF("a", "ta"), "a")
-    both = left.join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    both = _with_texts(pairs.select("a", "b"), docs).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = last = None
@@ -156,16 +187,18 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, trees: int = TREES, d
     # ties of equal sets go to the least id, which stands for all
     leads = filled.groupBy("whole").agg(F.min("doc_id").alias("lead"))
     sets = filled.join(leads, (filled.whole == leads.whole) & (filled.doc_id == leads.lead), "left_semi").select("doc_id", "nodes", F.struct(F.col("n_shingles").alias("n"), "odd").alias("set"))
-    found = candidate_nodes(sets, trees=trees, depth=depth, small=small)
+    found = candidate_nodes(sets, docs, trees=trees, depth=depth, small=small)
     nodes = written(found.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a"), name="members")
-    firsts = nodes.groupBy("node").agg(F.min(F.struct("a", "sa")).alias("first")).select("node", F.col("first.a").alias("b"), F.col("first.sa").alias("sb"))
-    star = nodes.join(firsts, "node").filter(F.col("a") != F.col("b")).filter(possible("sa", "sb", percent)).select("a", "b").distinct()
+    firsts = nodes.groupBy("node").agg(F.min(F.struct("a", "sa")).alias("first"), F.count("*").alias("members")).select("node", F.col("first.a").alias("b"), F.col("first.sa").alias("sb"), "members")
+    star = skewed_join(nodes, written(firsts, name="firsts"), "node", "members").filter(F.col("a") != F.col("b")).filter(possible("sa", "sb", percent)).select("a", "b").distinct()
+    star = written(star, name="pairs")
     links = written(confirmed(star, docs, percent=percent), name="confirmed")
     near = components(links)
     apart = nodes.join(near.select(F.col("doc").alias("a"), "label"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    lead = apart.groupBy("node").agg(F.min(F.struct("a", "label")).label.alias("first"), F.countDistinct("label").alias("groups")).filter("groups > 1").select("node", "first")
     # members joined to the node's first document need comparing only with those that are not
-    open_ = written(apart.join(lead, "node"), name="apart")
+    apart = written(apart, name="labelled")
+    lead = written(apart.groupBy("node").agg(F.min(F.struct("a", "label")).label.alias("first"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter("low != high").select("node", "first", "members"), name="leads")
+    open_ = written(skewed_join(apart, lead, "node", "members"), name="apart")
     rest = open_.filter("label != first").select("node", F.col("a").alias("b"), F.col("label").alias("other"), F.col("sa").alias("sb"))
     starred = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = open_.join(rest, "node").filter((F.col("label") != F.col("other")) & possible("sa", "sb", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
