@@ -133,15 +133,27 @@ def _by_broadcast(docs: DataFrame, prefixes: DataFrame, *, keep_clean: bool = Fa
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {DDL}")
 
 
+#: Up to so many prefix words are broadcast, which is some 100 MB at most.
+BROADCAST_PREFIXES = 1_000_000
+
+
 def _by_shuffle(docs: DataFrame, prefixes: DataFrame, size: int) -> DataFrame:
-    """Each place of a prefix word goes, with the words around it, to the windows of that word."""
+    """Only places of prefix words go on: each gives the stretches that windows of its word would cover there, and those meet the windows.
+
+    A stretch is joined with the one window of its text, so a common prefix word does not gather its windows or places.
+    """
     lower = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = docs.select("doc_id", F.regexp_extract_all(lower, F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0)).alias("w"))
     places = split.select("doc_id", F.size("w").alias("n_words"), "w", F.posexplode("w").alias("i", "word"))
-    # arrays start at 1; a stretch has the size - 1 words before and after the place
-    around = places.select("doc_id", "n_words", "i", "word", F.least("i", F.lit(size - 1)).alias("lead"), F.slice("w", F.greatest(F.col("i") - size + 2, F.lit(1)), F.least("i", F.lit(size - 1)) + size).alias("stretch"))
-    matched = around.join(prefixes, "word").withColumn("len", F.size(F.split("window", " "))).filter("i >= at and i - at + len <= n_words and array_join(slice(stretch, lead - at + 1, len), ' ') = window")
-    spans = matched.select("doc_id", "items", F.explode(F.sequence(F.col("i") - F.col("at"), F.col("i") - F.col("at") + F.col("len") - 1)).alias("place"))
+    windows = prefixes.select("window", "items", "word", "at", F.size(F.split("window", " ")).alias("len"))
+    # a window has 13 words at most, so a word has few ways to lie in one
+    ways = written(windows.groupBy("word").agg(F.collect_set(F.struct("at", "len")).alias("ways")), name="ways")
+    few = ways.limit(BROADCAST_PREFIXES + 1).count() <= BROADCAST_PREFIXES
+    near = places.join(F.broadcast(ways) if few else ways, "word").select("doc_id", "n_words", "i", "w", F.explode("ways").alias("way"))
+    start, length = F.col("i") - F.col("way.at"), F.col("way.len")
+    stretches = near.filter((start >= 0) & (start + length <= F.col("n_words"))).select("doc_id", start.alias("start"), length.alias("len"), F.array_join(F.slice("w", start + 1, length), " ").alias("window"))
+    matched = stretches.join(windows.select("window", "items"), "window")
+    spans = matched.select("doc_id", "items", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("place"))
     hits = spans.select("doc_id", "place").distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     listed = matched.select("doc_id", F.explode("items").alias("item")).groupBy("doc_id").agg(F.sort_array(F.collect_set("item")).alias("items"))
     none = F.array().cast("array<string>")
