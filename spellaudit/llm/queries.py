@@ -59,11 +59,40 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL_op6_decontamination = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, array_to_string(w[k : k + 12], ' ') AS text, least(len(w), 13) AS n FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS text FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM d JOIN sizes ON n <= len(w))),
+found AS (SELECT doc_id, k, n, item FROM places JOIN windows USING (text, n)),
+hits AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS at FROM found) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = chat.calls_of_turns(table(spark, sf_dir, "conversations"))
     return chat.link_calls(calls, results, chat.SCHEMAS)
 
 
+#: Every call of the conversations has all fields, so that its name decides whether it is valid.
+SQL_op7_chat_formatting = """
+WITH RECURSIVE one AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) = 1),
+asked AS (SELECT * FROM one WHERE role <> 'assistant'),
+linked AS (SELECT a.*, CASE WHEN b.turn IS NOT NULL THEN b.turn ELSE c.turn END AS after FROM asked a LEFT JOIN asked b ON a.conv_id = b.conv_id AND b.turn = a.turn - 2 LEFT JOIN asked c ON a.conv_id = c.conv_id AND c.turn = a.turn - 1),
+ranks AS (SELECT conv_id, turn, 0 AS rank FROM linked WHERE after IS NULL UNION ALL SELECT l.conv_id, l.turn, rank + 1 FROM ranks JOIN linked l ON l.conv_id = ranks.conv_id AND l.after = ranks.turn)
+SELECT l.conv_id, 'call-' || l.turn AS call_id, CAST(rank AS BIGINT) AS rank, r.turn IS NOT NULL AS linked, l.role IN ('user', 'system') AS valid,
+  '{"after":' || coalesce('"call-' || after || '"', 'null') || ',"arguments":{"query":' || to_json(l.text) || ',"turn":' || l.turn || ',"words":' || len(regexp_split_to_array(trim(l.text, ' '), '[ \\t\\n\\v\\f\\r]+'))
+  || '},"id":"call-' || l.turn || '","name":' || to_json(l.role) || ',"rank":' || rank || ',"result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || ',"valid":' || (l.role IN ('user', 'system')) || '}' AS record
+FROM linked l JOIN ranks USING (conv_id, turn) LEFT JOIN one r ON r.conv_id = l.conv_id AND r.turn = l.turn + 1 AND r.role = 'assistant'
+"""
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sharding.assign(docs.select("doc_id", "source"), ["source", "doc_id"], SHARDS)
@@ -73,6 +102,35 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+#: Bytes as two hexadecimal digits each; windows of 400 bytes told by MD5.
+SQL_op9_suffix_array_dedup = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, p, substr(h, 800 * p + 1, 1598) AS h FROM (SELECT *, unnest(range(0, length(h) // 800)) AS p FROM d)),
+w AS (SELECT doc_id, 400 * p + j AS k, md5(substr(h, 2 * j + 1, 800)) AS m FROM (SELECT *, unnest(range(0, length(h) // 2 - 399)) AS j FROM p)),
+r AS (SELECT doc_id, k FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+g AS (SELECT *, CASE WHEN k - 400 <= coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY k), -500) THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT doc_id, min(k) AS a, max(k) + 400 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS span FROM g) GROUP BY doc_id, span),
+c AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM s),
+t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM c JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+SQL_op10_minhash_near_dedup = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[k : k + 4], ' ')) AS x FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sets AS (SELECT doc_id, md5(string_agg(x, '' ORDER BY x)) AS whole FROM s GROUP BY doc_id),
+leads AS (SELECT whole, min(doc_id) AS lead FROM sets GROUP BY whole),
+o AS (SELECT s.* FROM s JOIN leads ON lead = doc_id),
+links AS (SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS common FROM o p JOIN o q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY ALL) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 85 * (na.n + nb.n - common)),
+reach AS (SELECT lead AS a, lead AS b FROM leads UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+c AS (SELECT doc_id, (SELECT min(b) FROM reach WHERE a = lead) AS component FROM sets JOIN leads USING (whole))
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, d.doc_id = coalesce(component, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
