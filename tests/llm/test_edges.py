@@ -1,0 +1,94 @@
+"""Every operator on tables with nulls, empty and long texts, ties, repeated rows, no rows, and extra columns whose names its own steps use."""
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from spellaudit.llm import bpe, brown, chat, decontaminate, lines, media, near_dups, quality, repeats, sharding
+
+#: Names that the operators' own steps give to columns.
+CLASHING = ("a", "b", "n", "w", "id", "key", "seg", "line", "word", "node", "gone", "first", "raw", "items", "score", "kept", "place", "size", "_lines", "_gone", "window", "label", "spans", "slot", "chunk", "level", "delta", "whole", "odd", "rank", "c", "k", "words", "quality", "toxic")
+
+
+@pytest.fixture(scope="module")
+def plain(spark):
+    text = "the quick brown fox jumps over the lazy dog near the river bank at noon"
+    rows = [(1, text), (2, text), (3, text + " again"), (4, None), (5, ""), (6, " \n\t\n"), (7, "x"), (8, "word " * 60_000), (9, "é漢😀 ’— \x00 \\ \" ' \r\n" * 30), (10, "A" * 500), (11, "\n".join([text] * 5)), (12, "kill all of them now " * 3), (13, text.upper())]
+    return spark.createDataFrame(rows, "doc_id long, text string").cache()
+
+
+@pytest.fixture(scope="module")
+def clashing(plain):
+    return plain.select("*", *(F.lit(i).alias(c) for i, c in enumerate(CLASHING)))
+
+
+@pytest.fixture(scope="module")
+def side(spark):
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog near the river bank at noon"), (2, None), (3, ""), (4, "x")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (12, 1, 1), (8, 0, 0), (None, 1, 1), (99, None, None), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    return items.withColumn("window", F.lit(1)).withColumn("word", F.lit(2)), labels.withColumn("text", F.lit("clash"))
+
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+OPERATORS = {
+    "lines": lambda docs, items, labels: lines.line_report(docs),
+    "bpe": lambda docs, items, labels: bpe.encode(docs, RANKS, public_tokenizers.PATTERN),
+    "quality": lambda docs, items, labels: quality.scored(docs, quality.fit(docs, labels)),
+    "media": lambda docs, items, labels: media.media_columns(docs),
+    "brown": lambda docs, items, labels: brown.scores(docs, heads=20, tails=5, classes=3, rounds=2),
+    "contamination": lambda docs, items, labels: decontaminate.contamination(docs, items),
+    "contamination_shuffled": lambda docs, items, labels: decontaminate.contamination(docs, items, broadcast_bytes=0),
+    "sharding": lambda docs, items, labels: sharding.assign(docs, ["doc_id"], ["a", "b"], slots=101).select("doc_id", "slot", "shard"),
+    "repeats": lambda docs, items, labels: repeats.remove_repeats(docs),
+    "near": lambda docs, items, labels: near_dups.near_duplicates(docs, small=2),
+}
+STAGES = {
+    "lines": lambda docs, items, labels: lines.dedup_lines(docs),
+    "quality": lambda docs, items, labels: quality.keep(docs, quality.fit(docs, labels)),
+    "near": lambda docs, items, labels: near_dups.drop_near_duplicates(docs),
+    "clean": lambda docs, items, labels: decontaminate.clean(docs, items),
+    "clean_shuffled": lambda docs, items, labels: decontaminate.clean(docs, items, broadcast_bytes=0),
+}
+
+
+def rows(df, columns=None):
+    return sorted(map(str, df.select(*(columns or df.columns)).collect()))
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_operators(plain, clashing, side, name):
+    run = OPERATORS[name]
+    base = run(plain, *side)
+    got = rows(base)
+    assert len(got) == 13
+    assert rows(run(clashing, *side), base.columns) == got
+    none = run(plain.limit(0), *(x.limit(0) for x in side))
+    assert none.columns == base.columns and none.isEmpty()
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages(plain, clashing, side, name):
+    run = STAGES[name]
+    kept = {(r.doc_id, r.text) for r in run(plain, *side).collect()}
+    got = run(clashing, *side)
+    assert got.columns == clashing.columns
+    assert {(r.doc_id, r.text) for r in got.collect()} == kept
+    assert got.filter(" or ".join(f"`{c}` != {i}" for i, c in enumerate(CLASHING))).isEmpty()
+    none = run(clashing.limit(0), *(x.limit(0) for x in side))
+    assert none.columns == clashing.columns and none.isEmpty()
+
+
+def test_repeated_rows(plain, side):
+    twice = plain.unionByName(plain)
+    for name in ("bpe", "quality", "media", "contamination", "sharding"):
+        got = rows(OPERATORS[name](twice, *side))
+        assert len(got) == 26 and got[::2] == got[1::2], name
+    for name in ("lines", "repeats", "near"):
+        OPERATORS[name](twice, *side).collect()
+
+
+def test_chat(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, None, "x" * 200_000), (1, 3, "user", ""), (None, 1, "user", "a"), (2, None, "user", "a"), (3, 1, "assistant", "alone")], "conv_id long, turn long, role string, text string").withColumn("call_id", F.lit(1)).withColumn("rank", F.lit(2))
+    got = {(r.conv_id, r.call_id): (r.rank, r.linked, r.valid) for r in chat.link_calls(*chat.calls_of_turns(turns), chat.SCHEMAS).collect()}
+    assert got == {(1, "call-0"): (0, True, True), (1, "call-2"): (1, False, False), (1, "call-3"): (2, False, True)}
+    assert chat.link_calls(*chat.calls_of_turns(turns.limit(0)), chat.SCHEMAS).isEmpty()
