@@ -6,13 +6,27 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path and content, a row for each file."""
-    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+def _below(path: str) -> Column:
+    """The file's path below the folder ``path``, or its name where ``path`` is the file."""
+    folder = path.rstrip("/") + "/"
+    whole = F.col("_metadata.file_path")
+    return F.when(whole.contains(folder), F.substring_index(whole, folder, -1)).otherwise(F.substring_index(whole, "/", -1))
+
+
+def read_files(spark: SparkSession, path: str, *, missing_ok: bool = False) -> DataFrame:
+    """path (below ``path``, so that rules see it as they are written) and content, a row for each file; missing_ok: no rows where there is no such path."""
+    try:
+        files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    except AnalysisException as e:
+        if not missing_ok or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, content string")
+    return files.select(_below(path).alias("path"), F.col("value").alias("content"))
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
@@ -20,7 +34,7 @@ def from_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.concat_ws("/", F.coalesce("lang", F.lit("-")), F.coalesce("source", F.lit("-")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.col("text").alias("content"))
 
 
-def is_text() -> F.Column:
+def is_text() -> Column:
     """Whether content has no NUL anywhere."""
     return F.instr("content", "\x00") == 0
 
@@ -39,8 +53,22 @@ def parse_words(lists: DataFrame) -> DataFrame:
 def read_wordlists(spark: SparkSession, path: str) -> DataFrame:
     """word and wordlist (the file's path below ``path``, without .txt) of all .txt files."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
-    name = F.regexp_replace(F.substring_index(F.col("_metadata.file_path"), path.rstrip("/") + "/", -1), r"\.txt$", "")
-    return parse_words(files.select(name.alias("wordlist"), F.col("value").alias("content")))
+    return parse_words(files.select(F.regexp_replace(_below(path), r"\.txt$", "").alias("wordlist"), F.col("value").alias("content")))
+
+
+def project_wordlists(spark: SparkSession, path: str) -> DataFrame:
+    """word and wordlist of a project's own lists, which are for all files: '*'."""
+    return read_wordlists(spark, path).select("word", F.lit("*").alias("wordlist")).distinct()
+
+
+def write_misses(found: DataFrame, path: str) -> None:
+    """The misses as Parquet files: a row each."""
+    found.write.parquet(path)
+
+
+def write_corpus(corpus: DataFrame, path: str) -> None:
+    """A new corpus (path, content); the one that was read stays."""
+    corpus.select("path", "content").write.parquet(path)
 
 
 def write_wordlist(words: DataFrame, path: str) -> None:
