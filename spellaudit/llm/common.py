@@ -49,13 +49,16 @@ def documents_only(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-def skewed_join(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, *, share: int = 1000) -> DataFrame:
+def skewed_join(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, *, share: int = 1000, least: int = 1000) -> DataFrame:
     """``rows`` joined with ``groups``, which has each key once and the number of its rows in ``size``; both are read twice.
 
-    A key with more than a ``share``-th of all those rows is joined by broadcast, so its rows are not gathered in one task:
-    fewer than ``share`` keys can have so many. All other keys are shuffled.
+    A key with more than a ``share``-th of all those rows (and more than ``least``) is joined by broadcast, so its rows are not gathered
+    in one task: fewer than ``share`` keys can have so many. All other keys are shuffled.
     """
-    total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first().n
-    hot = groups.filter(F.col(size) > total / share)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(size) <= total / share), key)
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n"), F.coalesce(F.max(size), F.lit(0)).alias("most")).first()
+    bound = max(total.n / share, least)
+    if total.most <= bound:
+        return rows.join(groups, key)
+    hot = groups.filter(F.col(size) > bound)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(size) <= bound), key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)
