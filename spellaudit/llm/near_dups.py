@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, trees: int = TREES, d
     marks = written(signatures(docs, trees=trees, depth=depth), name="signatures")
     filled = marks.filter("n_shingles > 0")
     # ties of equal sets go to the least id, which stands for all
-    leads = filled.groupBy("whole").agg(F.min("doc_id").alias("lead"))
+    leads = filled.groupBy("whole").agg(F.min("doc_id").alias("lead"), F.count("*").alias("copies"))
     sets = filled.join(leads, (filled.whole == leads.whole) & (filled.doc_id == leads.lead), "left_semi").select("doc_id", "nodes", F.struct(F.col("n_shingles").alias("n"), "odd").alias("set"))
     found = candidate_nodes(sets, docs, trees=trees, depth=depth, small=small)
     nodes = written(found.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a"), name="members")
@@ -204,10 +204,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, trees: int = TREES, d
     pairs = open_.join(rest, "node").filter((F.col("label") != F.col("other")) & possible("sa", "sb", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
     more = written(confirmed(written(pairs, name="pairs"), docs, percent=percent), name="confirmed")
     final = near if more.isEmpty() else components(links.unionByName(more))
-    named = leads.join(final, leads.lead == final.doc, "left").select("whole", F.coalesce("label", "lead").alias("component"))
-    out = marks.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("whole")).alias("whole")).join(named, "whole", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    named = written(leads.join(final, leads.lead == final.doc, "left").select("whole", F.coalesce("label", "lead").alias("component"), "copies"), name="named")
+    # a set that very many documents have stays spread
+    own = skewed_join(filled.select("doc_id", "n_shingles", "whole"), named, "whole", "copies").select("doc_id", "n_shingles", "component")
+    every = own.unionByName(marks.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
+    return every.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, percent: int = 80, **options: int) -> DataFrame:
