@@ -1,6 +1,10 @@
 """A training corpus from raw documents, in five stages; each works on all that the stage before kept.
 
 ``run`` writes what each stage returns to the shared folder and reads it back for the next.
+
+Null, empty and wordless texts are sound unless the labels say otherwise, have no lines, shingles or windows, and reach the last
+stage with the tokens of the empty text. Long texts are read whole; ties go to the least doc_id, and ids must be distinct. An empty table of
+documents gives empty results; without labels or benchmark nothing is toxic by label or contaminated. Other columns are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality classifier", quality_classifier), ("line dedup", line_dedup), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("byte-level BPE", encoding)]
-#: The classifier, the trees and the merges are no SQL; the stages are tested against brute force.
+#: The classifier, the trees and the merges are no SQL; tests/llm/test_pipeline.py compares the stages and run with brute force.
 ORACLE_SQL = None
 
 

@@ -129,15 +129,27 @@ def corpus_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check.check_corpus(corpus, lists, Options(more_excludes=RULES)).select("path", "line_no", "col", "text", "norm")
 
 
-def page_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole check of the pages as source files, by languages' lists and with keys passed over; words of five pages or more of a list's files are in it."""
+def _page_check(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The misses of the pages as source files, with keys passed over, and the languages' lists: words of five pages or more of a list's files."""
     corpus, options = _pages(spark, sf_dir), Options()
     listed = select.select_files(corpus, options).select("path", F.explode(select.wordlists(options)).alias("wordlist"))
     model = keys.KeyModel.from_params(_key_params(spark, sf_dir))
     tokens = scan.words(directives.checked_lines(corpus, options.marker), model=model)
     each = tokens.select("path", normalize(F.col("text")).alias("word")).distinct().join(listed.filter("wordlist not like 'english%'"), "path")
     lexicon = stored(each.groupBy("word", "wordlist").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_FILES).select("word", "wordlist"))
-    return check.check_corpus(corpus, lexicon, options, model=model).groupBy("path", "norm").agg(F.count("*").alias("n"))
+    return check.check_corpus(corpus, lexicon, options, model=model), lexicon
+
+
+def page_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole check of the pages as source files, by languages' lists and with keys passed over."""
+    return _page_check(spark, sf_dir)[0].groupBy("path", "norm").agg(F.count("*").alias("n"))
+
+
+def page_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each unknown word of the pages what its own file's lists have near it."""
+    found, lexicon = _page_check(spark, sf_dir)
+    best = suggest.suggestions_by_lists(stored(found.select("norm", "case_kind", "wordlists").distinct()), lexicon)
+    return best.select("norm", "case_kind", F.array_join("wordlists", ",").alias("wordlists"), F.array_join("suggestions", ",").alias("suggestions"))
 
 
 def plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +293,7 @@ def language_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    line_split, all_lines_words, word_places, normalized_vocab, derived_lexicon, unknown_words, miss_summary, miss_by_path, harvested_words, added_words, rechecked, project_misses, corpus_misses, page_misses, plain_words, scanned_plain_words,
+    line_split, all_lines_words, word_places, normalized_vocab, derived_lexicon, unknown_words, miss_summary, miss_by_path, harvested_words, added_words, rechecked, project_misses, corpus_misses, page_misses, page_suggestions, plain_words, scanned_plain_words,
     selected_files, rule_selected_files, nested_rules, file_wordlists, directive_gate, key_candidates, key_features, key_classes, scanned_words, suggestions, autocorrected, decided_misses, replaced_words, miss_context, close_pairs, language_words,
 )
 
