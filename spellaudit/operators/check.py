@@ -56,12 +56,6 @@ def _times(found: DataFrame) -> Column:
     return F.sum("n") if "n" in found.columns else F.count("*")
 
 
-def unknown_counts(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """norm, occurrences and files of unknown words: counted by word first, so that frequent words are not shuffled as rows."""
-    by_file = tokens.select(normalize(F.col("text")).alias("norm"), "path").groupBy("norm", "path").agg(F.count("*").alias("n"))
-    return misses(by_file, lexicon).groupBy("norm").agg(F.sum("n").alias("occurrences"), F.count("*").alias("files"))
-
-
 def harvest(found: DataFrame) -> DataFrame:
     """The distinct unknown words as a list; order when it is written."""
     return found.select(F.col("norm").alias("word")).distinct()
