@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from spellaudit.functions import keys, similarity
@@ -57,3 +59,11 @@ def test_features():
     assert len(keys.FEATURES) == 37
     assert (row["length"], row["equal"], row["base64"], row["hex"], row["digit_chunks"], row["alpha_chunks"]) == (8, 1, 1, 0, 1, 2)
     assert row["x"] == pytest.approx(abs(1 / 8 - 8 / 64))
+
+
+def test_similarity_of_many_pairs():
+    random.seed(8)
+    word = lambda: "".join(random.choices("abcdé😀", k=random.choice([0, 1, 2, 4, 7, 9, 13, 15, 30, 70, 300])))
+    pairs = [(word(), word()) for _ in range(1500)] + [(w, w[:2] + w[3:]) for w in (word() for _ in range(300))]
+    assert similarity.jaro_winkler_of(pairs).tolist() == [similarity.jaro_winkler(*p) for p in pairs]
+    assert not len(similarity.jaro_winkler_of([]))
