@@ -115,8 +115,8 @@ class Sparse:
     def __init__(self, lists: list[np.ndarray]):
         self.n = len(lists)
         self.sizes = np.array([len(x) for x in lists], np.int64)
-        self.at = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
-        self.of = np.repeat(np.arange(self.n), self.sizes)
+        self.at = np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int32, copy=False)
+        self.of = np.repeat(np.arange(self.n, dtype=np.int32), self.sizes)
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
         """Of each document, the weights of its features."""
@@ -136,10 +136,11 @@ def logistic(found: Sparse, q: np.ndarray, *, rounds: int = 80, rate: float = 0.
     """
     share = float(np.clip(q.mean(), 0.001, 0.999)) if len(q) else 0.5
     side = np.where(q > 0.5, min(4.0, max(1.0, (1 - share) / share)), 1.0)
-    names, inverse = np.unique(found.at, return_inverse=True)
-    often = np.bincount(inverse, minlength=len(names)) >= least
-    names, new = names[often], np.cumsum(often) - 1
-    at, of = new[inverse[often[inverse]]], found.of[often[inverse]]
+    # the features that are frequent enough, numbered anew
+    often = np.bincount(found.at, minlength=1 << BITS) >= least
+    names, new = np.flatnonzero(often), np.cumsum(often) - 1
+    used = often[found.at]
+    at, of = new[found.at[used]], found.of[used]
     n = len(names)
     weights, bias = np.zeros(n), math.log(share / (1 - share))
     past, past_bias = np.full(n, 1e-6), 1e-6
@@ -244,7 +245,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     got = taken.withColumn("at", F.row_number().over(Window.partitionBy("rank").orderBy("words", "marks"))).filter("at = 1").drop("at").orderBy("rank").toArrow()
     columns = [got.column(c) for c in ("words", "marks", "votes", "quality", "toxic")]
     arrays = [[x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in columns[i]] for i in (0, 1)]
-    return fit_rows(list(zip(*arrays, *(c.to_pylist() for c in columns[2:]), strict=True)))
+    model = fit_rows(list(zip(*arrays, *(c.to_pylist() for c in columns[2:]), strict=True)))
+    del got, columns, arrays
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
