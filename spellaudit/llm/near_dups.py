@@ -36,8 +36,8 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE, TREES, DEPTH, SMALL = 5, 16, 5, 24
 #: Longs of the parity sketch, 64 buckets each.
 PARITY = 16
-#: Times that a node that is large at the last level is branched on.
-AGAIN = 4
+#: Times that a node that is large at the last level is branched on, and by how many levels.
+AGAIN, DEEPER = 4, 3
 #: Pairs for which a document's text is sent once.
 PAIRS = 500
 
@@ -120,11 +120,11 @@ def candidate_nodes(sets: DataFrame, docs: DataFrame, *, trees: int = TREES, dep
     ended, large = _branched(live, depth, small)
     if large.isEmpty():
         return ended
-    fresh = signatures(docs.join(large.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"), trees=AGAIN, depth=depth, first=trees * depth)
+    fresh = signatures(docs.join(large.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"), trees=AGAIN, depth=DEEPER, first=trees * depth)
     fresh = written(fresh.groupBy(F.col("doc_id").alias("a")).agg(F.any_value("nodes").alias("nodes")), name="fresh")
     again = large.select("a", F.col("node").alias("above")).join(fresh, "a").select("a", "above", "nodes", F.explode(F.sequence(F.lit(0), F.lit(AGAIN - 1))).alias("tree"))
-    live = again.select("a", F.transform(F.slice("nodes", F.col("tree") * depth + 1, depth), lambda x: F.xxhash64("above", x)).alias("path")).withColumn("node", F.col("path")[0])
-    more, last = _branched(live, depth, small)
+    live = again.select("a", F.transform(F.slice("nodes", F.col("tree") * DEEPER + 1, DEEPER), lambda x: F.xxhash64("above", x)).alias("path")).withColumn("node", F.col("path")[0])
+    more, last = _branched(live, DEEPER, small)
     return ended.unionByName(more).unionByName(last)
 
 
@@ -134,10 +134,15 @@ def possible(a: str, b: str, percent: int) -> Column:
     return d * (100 + percent) <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with both texts. A document of many pairs is sent once for each ``PAIRS`` of them, so they stay spread."""
+def _with_texts(pairs: DataFrame, docs: DataFrame, hubs: str) -> DataFrame:
+    """The pairs (a, b) with both texts. A document of many pairs on a side of ``hubs`` is sent once for each ``PAIRS`` of them, so they stay spread."""
     texts, sent = docs.select("doc_id", "text"), {}
-    for side, other in (("a", "b"), ("b", "a")):
+    for side in "ab":
+        if side not in hubs:
+            pairs = pairs.withColumn(f"salt_{side}", F.lit(0))
+            sent[side] = texts.toDF(side, f"t{side}").withColumn(f"salt_{side}", F.lit(0))
+            continue
+        other = "b" if side == "a" else "a"
         counts = written(pairs.groupBy(side).agg(F.count("*").alias("n")), name="counts")
         copies = F.ceil(F.col("n") / PAIRS).cast("int")
         pairs = written(skewed_join(pairs, counts, side, "n").withColumn(f"salt_{side}", F.pmod(F.xxhash64(other), copies).cast("int")).drop("n"), name="dealt")
@@ -145,10 +150,10 @@ def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(sent["a"], ["a", "salt_a"]).join(sent["b"], ["b", "salt_b"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, *, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+def confirmed(pairs: DataFrame, docs: DataFrame, *, percent: int, hubs: str = "ab") -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity; ``hubs``: the sides where a document may have very many."""
     kind = dict(pairs.dtypes)["a"]
-    both = _with_texts(pairs.select("a", "b"), docs).select("a", "b", "ta", "tb")
+    both = _with_texts(pairs.select("a", "b"), docs, hubs).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = last = None
@@ -192,7 +197,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, trees: int = TREES, d
     firsts = nodes.groupBy("node").agg(F.min(F.struct("a", "sa")).alias("first"), F.count("*").alias("members")).select("node", F.col("first.a").alias("b"), F.col("first.sa").alias("sb"), "members")
     star = skewed_join(nodes, written(firsts, name="firsts"), "node", "members").filter(F.col("a") != F.col("b")).filter(possible("sa", "sb", percent)).select("a", "b").distinct()
     star = written(star, name="pairs")
-    links = written(confirmed(star, docs, percent=percent), name="confirmed")
+    # a member has a pair a tree at most, a first document as many as its nodes have members
+    links = written(confirmed(star, docs, percent=percent, hubs="b"), name="confirmed")
     near = components(links)
     apart = nodes.join(near.select(F.col("doc").alias("a"), "label"), "a", "left").withColumn("label", F.coalesce("label", "a"))
     # members joined to the node's first document need comparing only with those that are not
