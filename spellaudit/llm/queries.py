@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spellaudit.llm import bpe, brown, chat, decontaminate, lines, media, near_dups, quality, repeats, sharding
+from spellaudit.llm import bpe, brown, chat, decontaminate, lines, media, near_dups, periodic, quality, repeats, sharding
 from spellaudit.llm.common import table
 
 #: Places for rows of op8.
@@ -135,6 +135,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(table(spark, sf_dir, "documents"), order=periodic.looped_tail)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
