@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spellaudit.llm import bpe, brown, chat, decontaminate, lines, media, near_dups, periodic, quality, repeats, sharding
+from spellaudit.llm import bpe, brown, chat, decontaminate, lines, media, near_dups, passages, periodic, quality, repeats, sharding
 from spellaudit.llm.common import table
 
 #: Places for rows of op8.
@@ -139,6 +139,23 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_report(table(spark, sf_dir, "documents"), order=periodic.looped_tail)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_passages(table(spark, sf_dir, "documents"))
+
+
+#: Windows of 50 words told by MD5.
+SQL_op12_substring_dedup = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, k, md5(array_to_string(w[k : k + 49], ' ')) AS m FROM (SELECT *, unnest(range(1, len(w) - 48)) AS k FROM d)),
+hits AS (SELECT doc_id, k FROM p JOIN (SELECT m, min(doc_id) AS lo FROM p GROUP BY m) USING (m) WHERE lo < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS i FROM hits),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
