@@ -20,6 +20,7 @@ import base64
 import functools
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spellaudit.llm.common import lean, values
+
 #: Pieces of up to this many bytes are encoded side by side.
 SIDE_BY_SIDE = 64
 #: Pieces from which on a worker's cache takes in no more; frequent ones come early.
-CACHE = 300_000
+CACHE = 120_000
 NONE = np.int64(1) << 62
 
 
@@ -173,11 +176,11 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.ranks, self.find, self.cache = Ranks(path), regex.compile(pattern).findall, {}
 
-    def pieces(self, texts: list[str]) -> Iterator[list[tuple[str, bytes]]]:
+    def pieces(self, texts: Iterator[str]) -> Iterator[list[tuple[str, bytes]]]:
         """For each text its pieces: the ids joined by commas, and the bytes that the ids decode to."""
         cache, ranks = self.cache, self.ranks
-        for start in range(0, len(texts), 512):
-            found = [self.find(t) for t in texts[start : start + 512]]
+        while some := list(islice(texts, 512)):
+            found = [self.find(t) for t in some]
             new = [w for w in set().union(*found) if w not in cache]
             data = [w.encode() for w in new]
             short = [i for i, b in enumerate(data) if len(b) <= SIDE_BY_SIDE]
@@ -207,7 +210,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
         pieces = encoder(ranks_path, pattern).pieces
         for batch in batches:
             rows: dict[str, list] = {c: [] for c in ("n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if with_ids else ()))}
-            for items in pieces(batch.column(1).to_pylist()):
+            for items in pieces(values(batch.column(1))):
                 ids, decoded = ",".join([x[0] for x in items]), b"".join([x[1] for x in items])
                 rows["n_tokens"].append(ids.count(",") + bool(items))
                 rows["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
@@ -218,7 +221,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()}.get(c, pa.string())) for c, v in rows.items())], [id_col, *rows])
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
-    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,23 @@ def written(df: DataFrame, *, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def values(*columns: pa.Array, at_once: int = 256) -> Iterator:
+    """The values of a column (of several: tuples), taken out of Arrow a few at a time, as texts are large."""
+    for at in range(0, len(columns[0]), at_once):
+        some = [c.slice(at, at_once).to_pylist() for c in columns]
+        yield from some[0] if len(some) == 1 else zip(*some, strict=True)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which leaves no unused memory to its worker: workers are used again by other steps."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return lean_run
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

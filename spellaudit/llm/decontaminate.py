@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spellaudit.llm.common import written
+from spellaudit.llm.common import lean, values, written
 
 #: Over the UTF-8 bytes of lower-cased text; all bytes of non-ASCII characters are words' bytes.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -60,11 +60,11 @@ def _counted(docs: DataFrame, vocabulary: DataFrame, small: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, total = known.value, Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 total.update([w for w in words(text) if w in keep])
         yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def prefixed(docs: DataFrame, items: DataFrame, *, size: int = SIZE, small: bool = True) -> DataFrame:
@@ -122,15 +122,15 @@ def _by_broadcast(docs: DataFrame, prefixes: DataFrame, *, keep_clean: bool = Fa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = pickle.loads(sent.value)
         for batch in batches:
-            rows = [_judge(text, probe) for text in batch.column("text").to_pylist()]
+            rows = [_judge(text, probe) for text in values(batch.column("text"))]
             if keep_clean:
                 yield batch.filter(pa.array([not r[4] for r in rows], pa.bool_()))
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(list(zip(*rows, strict=True)) or [[]] * len(FIELDS), FIELDS.values(), strict=True))], ["doc_id", *FIELDS])
 
     if keep_clean:
-        return docs.mapInArrow(run, docs.schema)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {DDL}")
+        return docs.mapInArrow(lean(run), docs.schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, {DDL}")
 
 
 #: Up to so many prefix words are broadcast, which is some 100 MB at most.

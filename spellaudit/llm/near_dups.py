@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spellaudit.llm.common import skewed_join, written
+from spellaudit.llm.common import lean, skewed_join, values, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE, TREES, DEPTH, SMALL = 5, 16, 5, 24
@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, *, trees: int = TREES, depth: int = DEPTH, first
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, whole, nodes, odd = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in values(batch.column(1)):
                 s = shingles(text)
                 n.append(len(s))
                 whole.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, *, trees: int = TREES, depth: int = DEPTH, first
                 odd.append(np.packbits(count & 1).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "whole", "nodes", "odd"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, whole binary, nodes array<long>, odd array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_shingles long, whole binary, nodes array<long>, odd array<long>")
 
 
 def _branched(live: DataFrame, levels: int, small: int) -> tuple[DataFrame, DataFrame]:
@@ -159,7 +159,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, *, percent: int, hubs: str = "a
         key = last = None
         for batch in batches:
             keep = []
-            for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for ta, tb in values(batch.column(2), batch.column(3)):
                 if tb != key:
                     key, last = tb, shingles(tb)
                 s = shingles(ta)
@@ -167,7 +167,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, *, percent: int, hubs: str = "a
                 keep.append(100 * same >= percent * (len(s) + len(last) - same) and same > 0)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(lean(run), f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:

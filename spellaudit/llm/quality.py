@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spellaudit.llm.common import written
+from spellaudit.llm.common import lean, values, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SAMPLE, BITS = 6_000, 20
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, shapes, votes = [], [], []
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 shares = shape(text or "")
                 found.append(np.array(sorted({x for w in words_of(text or "") for x in word_features(w)}), np.int32))
                 shapes.append(sorted(set(marks(shares))))
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
             lists = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(found, lists), pa.array(shapes, lists), pa.array(votes, lists), *(batch.column(i) for i in (1, 2, 3))], ["words", "marks", "votes", "quality", "toxic", "rank"])
 
-    taken = rows.mapInArrow(run, "words array<int>, marks array<int>, votes array<int>, quality int, toxic int, rank long")
+    taken = rows.mapInArrow(lean(run), "words array<int>, marks array<int>, votes array<int>, quality int, toxic int, rank long")
     # repeated rows of an id: one of them, the least, counts
     got = taken.withColumn("at", F.row_number().over(Window.partitionBy("rank").orderBy("words", "marks"))).filter("at = 1").drop("at").orderBy("rank").toArrow()
     columns = [got.column(c) for c in ("words", "marks", "votes", "quality", "toxic")]
@@ -258,10 +258,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(sent.value)
         for batch in batches:
-            s = np.array([own.scores(t) for t in batch.column(1).to_pylist()]).reshape(-1, 2)
+            s = np.array([own.scores(t) for t in values(batch.column(1))]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array((s <= 0).all(1))], ["doc_id", "junk_score", "toxic_score", "kept"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, junk_score double, toxic_score double, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, junk_score double, toxic_score double, kept boolean")
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
@@ -271,6 +271,6 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(sent.value)
         for batch in batches:
-            yield batch.filter(pa.array([max(own.scores(t)) <= 0 for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([max(own.scores(t)) <= 0 for t in values(batch.column("text"))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
