@@ -20,8 +20,8 @@ from spellaudit.functions.keys import KeyModel
 
 LETTER, HEX = "[A-Za-z]", "[0-9A-Fa-f]"
 CONTRACTION = r"(?:['\u2000-\u2fff](?!s(?![a-z]))[a-z]++)*+"
-#: A word: title, upper or lower.
-WORD = rf"[A-Z][a-z]++{CONTRACTION}|[A-Z]+(?:(?![A-Za-z0-9_-])|(?=[A-Z][a-z]{{2}}))(?:'[A-Z]++(?![a-z]))?|[a-z](?:[a-z]++{CONTRACTION})?"
+TITLE, LOWER = rf"[A-Z][a-z]++{CONTRACTION}", rf"[a-z](?:[a-z]++{CONTRACTION})?"
+UPPER = r"[A-Z]+(?:(?![A-Za-z0-9_-])|(?=[A-Z][a-z]{2}))(?:'[A-Z]++(?![a-z]))?"
 SCHEME = r"(?:https?://|s?ftp://|mailto:|//)"
 USER = r"[A-Za-z0-9]++(?::[A-Za-z0-9]*+)?@"
 #: An address goes without its last character; a name has a dot.
@@ -48,7 +48,7 @@ EARLY = {
 DATA_URI = r"data:[A-Za-z0-9/+.-]*;base64,[A-Za-z0-9+/]*+=*+(?![A-Za-z0-9])"
 #: A span with letters and digits that change twice; what it must have besides is in ``is_key``.
 CHANGES = r"(?:[A-Za-z][_/+-]*[0-9][0-9_/+-]*[A-Za-z]|[0-9][_/+-]*[A-Za-z][A-Za-z_/+-]*[0-9])"
-SPAN = rf"(?=[A-Za-z0-9_/+-]*?{CHANGES})[A-Za-z0-9][A-Za-z0-9_/+-]*+=*+(?![A-Za-z0-9])"
+SPAN = rf"(?=[A-Za-z0-9])(?=[A-Za-z0-9_/+-]*?{CHANGES})[A-Za-z0-9][A-Za-z0-9_/+-]*+=*+(?![A-Za-z0-9])"
 LATE = {
     "leftover": r"[/%#\\0-9]",
     "repeated": r"(?P<r>[A-Za-z])(?P=r)++(?![A-Za-z])",
@@ -56,19 +56,23 @@ LATE = {
 }
 
 
-def pattern(*, keys: bool = False, data_uris: bool = False, marker: str | None = None, on: bool = True) -> str:
-    """The scanner as an expression of named groups, a group a rule; ``word`` is a word between ASCII signs, other words have no group."""
+def pattern(*, keys: bool = False, data_uris: bool = False, marker: str | None = None, on: bool = True, without: frozenset[str] = frozenset()) -> str:
+    """The scanner as an expression of named groups, a group a rule; ``word`` is a word between ASCII signs, other words have no group.
+
+    ``without``: rules (or "upper" for such words) that are known to fail at the place.
+    """
     rules = dict(EARLY)
     if data_uris:
         rules["data_uri"] = DATA_URI
     if keys:
         rules["key"] = SPAN
     rules |= LATE
-    found = [f"(?P<{name}>{rx})" for name, rx in rules.items()]
+    found = [f"(?P<{name}>{rx})" for name, rx in rules.items() if name not in without]
     if marker is not None:
         found = [f"(?P<stop>{re.escape(marker)}:disable-line)", f"(?P<turn>{re.escape(marker)}:{'disable' if on else 'enable'})", *found]
     if on:
-        found += [rf"(?<![^\x00-\x7F])(?P<word>(?>{WORD}))(?![^\x00-\x7F])", f"(?>{WORD})"]
+        word = "|".join((TITLE, *(() if "upper" in without else (UPPER,)), LOWER))
+        found += [rf"(?<![^\x00-\x7F])(?P<word>(?>{word}))(?![^\x00-\x7F])", f"(?>{word})"]
     return "|".join(found)
 
 
@@ -88,17 +92,106 @@ def kind_of(word: str) -> str:
     return "lower" if word[0].islower() else "title" if word[1:2].islower() else "upper"
 
 
+#: Signs of runs within which rules look far ahead; from so many in a row on a line is stepped through, so that no run is read again at each place.
+RUN_SIGNS, LONG_RUN = r"A-Za-z0-9_/+=.@:\\-", 500
+_LONG = re.compile(rf"[{RUN_SIGNS}]{{{LONG_RUN}}}")
+_HOST, _SCHEME = re.compile(HOST), re.compile(f"(?={SCHEME})")
+_SPAN_RUN, _SPAN_END, _GROUP = re.compile(r"[A-Za-z0-9_/+-]++"), re.compile(r"=*+(?![A-Za-z0-9])"), re.compile(r"[A-Za-z]++|[0-9]++")
+_NO_RULE, _CAPS, _LETTERS = re.compile(r"[^A-Za-z0-9%/#\\]++"), re.compile("[A-Z]++"), re.compile("[A-Za-z]++")
+
+
+def _back(line: str, at: int, fits) -> int:
+    while at and fits(line[at - 1]):
+        at -= 1
+    return at
+
+
+def _plain(c: str) -> bool:
+    return c.isascii() and c.isalnum()
+
+
+def url_places(line: str) -> bytearray:
+    """Marks the places where a URL may start: a scheme, what may stand before an @ that a host follows, and a name before a slash."""
+    marks = bytearray(len(line))
+    for m in _SCHEME.finditer(line):
+        marks[m.start()] = 1
+    at = line.find("@")
+    while at >= 0:
+        if _HOST.match(line, at + 1):
+            own = _back(line, at, _plain)
+            start = _back(line, own - 1, _plain) if own and line[own - 1] == ":" else own
+            marks[start:at] = b"\1" * (at - start)
+        at = line.find("@", at + 1)
+    at = line.find("/")
+    while at >= 0:
+        start = _back(line, at, lambda c: _plain(c) or c in "\\.-")
+        double = line.rfind("..", start, at)
+        start = start if double < 0 else double + 2
+        if at and line[at - 1] != "." and line.find(".", start, at) >= 0 or line.endswith("localhost", 0, at):
+            marks[start:at] = b"\1" * (at - start)
+        at = line.find("/", at + 1)
+    return marks
+
+
+def key_places(line: str) -> bytearray:
+    """Marks the places from which the rest of a run changes twice between letters and digits; nothing in a run that goes on with a letter or digit."""
+    marks = bytearray(len(line))
+    for m in _SPAN_RUN.finditer(line):
+        if not _SPAN_END.match(line, m.end()):
+            continue
+        last = before = None
+        kind = where = None
+        for g in _GROUP.finditer(line, m.start(), m.end()):
+            digit = g.group()[0].isdigit()
+            if kind is not None and digit != kind:
+                before, last = last, where
+            kind, where = digit, g.end() - 1
+        if before is not None:
+            marks[m.start() : before + 1] = b"\1" * (before + 1 - m.start())
+    return marks
+
+
+class _Steps:
+    """Goes through a line with long runs place by place: what would read a run to its end is tried only where it may fit."""
+
+    def __init__(self, line: str, skip_keys: bool):
+        self.line, self.urls = line, url_places(line)
+        self.keys = key_places(line) if skip_keys else bytearray(len(line))
+        self.no_upper = self.no_repeat = 0
+
+    def next(self, at: int, keys: bool, of: dict) -> re.Match | None:
+        line, n = self.line, len(self.line)
+        while at < n:
+            # no rule starts with such a sign, but a directive may
+            if of["marker"] is None and (m := _NO_RULE.match(line, at)):
+                at, keys = m.end(), True
+                continue
+            skip = [rule for rule, out in (("url", not self.urls[at]), ("upper", at < self.no_upper), ("repeated", at < self.no_repeat)) if out]
+            if m := compiled(keys=keys and bool(self.keys[at]), without=frozenset(skip), **of).match(line, at):
+                return m
+            if at >= self.no_upper and (caps := _CAPS.match(line, at)):
+                # what fails here fails in all of the run
+                self.no_upper = caps.end()
+                end = _LETTERS.match(line, at).end()
+                self.no_repeat = max(at, _back(line, end, lambda c: c == line[end - 1]))
+            at += 1
+            keys = True
+        return None
+
+
 def scan(line: str, *, min_length: int = 3, model: KeyModel | None = None, skip_keys: bool = True, marker: str | None = None, skip_data_uris: bool = False, skips: bool = False) -> Iterator[tuple[int, str, str, str]]:
     """Place (in characters), text, case kind and kind ("word", or the rule's name) in order."""
     marker = marker if marker and marker + ":" in line else None
     on, at = True, 0
     of = {"data_uris": skip_data_uris, "marker": marker}
-    while m := compiled(keys=skip_keys, on=on, **of).search(line, at):
+    steps = _Steps(line, skip_keys) if _LONG.search(line) else None
+    while m := compiled(keys=skip_keys, on=on, **of).search(line, at) if steps is None else steps.next(at, skip_keys, of | {"on": on}):
         if m.lastgroup == "key" and not is_key(m.group(), model):
             # no key: the rules after it come next, at the same place
-            m = compiled(keys=False, on=on, **of).match(line, m.start()) or m
-            if m.lastgroup == "key":
-                at = m.start() + 1
+            start = m.start()
+            m = compiled(keys=False, on=on, **of).match(line, start) if steps is None else steps.next(start, False, of | {"on": on})
+            if m is None or m.lastgroup == "key":
+                at = start + 1 if m is None else m.start()
                 continue
         name, at = m.lastgroup, m.end()
         if name == "stop":
@@ -133,12 +226,12 @@ def case_kind(word: Column) -> Column:
 def words(numbered: DataFrame, *, min_length: int = 3, model: KeyModel | None = None, skip_keys: bool = True, marker: str | None = None) -> DataFrame:
     """path, line_no, text and case_kind of the words of the lines, without their places.
 
-    Lines go through column functions, but for those with a span that the key rule must look at, or with directives.
+    Lines go through column functions, but for those with a span that the key rule must look at, with directives or with long runs.
     """
     line = F.col("line")
-    hard = F.lit(False)
+    hard = line.rlike(_LONG.pattern)
     if skip_keys:
-        hard = line.rlike("[A-Za-z0-9_/+=-]{201}") if model is None else line.rlike(CHANGES)
+        hard = hard | line.rlike("[A-Za-z0-9_/+=-]{201}") if model is None else line.rlike(CHANGES)
     if marker is not None:
         hard = hard | line.contains(marker + ":")
     # two groups are needed: the letter that is repeated, and the word

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 from collections import Counter
 
 import brute_scan
@@ -41,9 +43,13 @@ class Odd:
         return len(span) % 2 == 1
 
 
+@pytest.mark.parametrize("stepped", [False, True])
 @pytest.mark.parametrize("options", [{}, {"skips": True, "marker": "mark"}, {"model": Odd(), "skips": True}, {"model": Odd(), "marker": "mark", "skips": True}, {"skip_keys": False, "skips": True, "skip_data_uris": True}, {"min_length": 5}], ids=str)
-def test_one_expression_is_the_rules(options):
+def test_one_expression_is_the_rules(options, stepped, monkeypatch):
     random.seed(11)
+    if stepped:
+        # every line as if it had long runs
+        monkeypatch.setattr(scan, "_LONG", re.compile(""))
     for _ in range(8000):
         line = "".join(random.choices(PIECES, k=random.randint(1, 14)))
         assert list(scan.scan(line, **options)) == list(brute_scan.scan(line, **options)), line
@@ -58,3 +64,23 @@ def test_words_are_those_of_the_scanner(spark):
         assert Counter((r.line_no, r.text, r.case_kind) for r in got.filter("path = 'p'").collect()) == Counter((n, t, k) for _, n, line in rows[:3000] for _, t, k, _ in brute_scan.scan(line, **options))
         assert got.filter("path = 'q'").count() == 40_000
     assert scan.words(numbered.limit(0)).isEmpty() and scan.scan_lines(numbered.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("piece", ["a_", "ab-", "a.", "A1", "AB", "Ab1-", "a_1", "/a", "a@", "1.", "//", "aB_", "x1@a.b/"])
+def test_long_runs_take_time_in_proportion(piece):
+    for end in ("", "1", "./"):
+        took = []
+        for n in (50_000, 400_000):
+            line = (piece * n)[:n] + end
+            start = time.process_time()
+            sum(1 for _ in scan.scan(line, skips=True))
+            took.append(time.process_time() - start)
+        # eight times the run; its square would be sixty-four
+        assert took[1] < 25 * took[0] + 0.2, (end, took)
+
+
+def test_long_runs_in_column_functions(spark):
+    rows = [("p", i, piece * 3000) for i, piece in enumerate(["a_", "ab-", "a.", "A1", "Word-", "x/y.z"])]
+    numbered = spark.createDataFrame(rows, "path string, line_no int, line string")
+    got = Counter((r.line_no, r.text) for r in scan.words(numbered).collect())
+    assert got == Counter((i, t) for _, i, line in rows for _, t, _, _ in scan.scan(line))
