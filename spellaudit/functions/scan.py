@@ -223,21 +223,55 @@ def case_kind(word: Column) -> Column:
     return F.when(word.rlike("^[a-z]"), "lower").when(word.rlike("^.[a-z]"), "title").otherwise("upper")
 
 
-def words(numbered: DataFrame, *, min_length: int = 3, model: KeyModel | None = None, skip_keys: bool = True, marker: str | None = None) -> DataFrame:
-    """path, line_no, text and case_kind of the words of the lines, without their places.
+#: Words between whose places sums are taken one by one; from then on sums of so many words are added up.
+SUMMED = 128
+
+
+def _java(**options) -> str:
+    """The expression for Spark's functions: group 1 is the letter that is repeated, group 2 the word."""
+    return re.sub(r"\(\?P<(?!r>|word>)\w+>", "(?:", pattern(**options)).replace("(?P<", "(?<").replace("(?P=r)", r"\k<r>")
+
+
+def _with_places(lines_: DataFrame, rx: str) -> DataFrame:
+    """path, line_no, text and col (bytes from 0) of the words, by column functions.
+
+    With what no rule takes as a last choice every character is in a match, and the matches make up the line. Each is written down
+    again, a word with a NUL before and after its copy (no line has a NUL), so that cutting at NULs gives, in turn, all that ends with a word, and the word;
+    the running sum of the lengths of the former are the words' ends. Sums are taken in parts, so a line of very many words is no square.
+    """
+    tiles = rx + r"|[^A-Za-z0-9%/#\\]++|[A-Z]"
+    marked = F.replace(F.regexp_replace("line", F.lit(tiles), F.lit("$0\x00$2\x00")), F.lit("\x00\x00"), F.lit(""))
+    cut = lines_.select("path", "line_no", F.split(marked, "\x00").alias("_cut")).withColumn("_n", F.expr("size(_cut) div 2")).filter("_n > 0")
+    sized = cut.withColumn("_sizes", F.expr("transform(sequence(0, _n - 1), i -> octet_length(_cut[2 * i]))"))
+    part = f"slice(_sizes, {SUMMED} * c + 1, {SUMMED})"
+    sums = sized.withColumn("_sums", F.expr(f"transform(sequence(0, (_n - 1) div {SUMMED}), c -> aggregate({part}, 0, (a, x) -> a + x))"))
+    empty = "cast(array() as array<int>)"
+    begun = sums.withColumn("_begun", F.expr(f"aggregate(_sums, struct(0 as at, {empty} as out), (a, x) -> struct(a.at + x as at, concat(a.out, array(a.at)) as out), a -> a.out)"))
+    ends = begun.withColumn("_ends", F.expr(f"flatten(transform(_begun, (s, c) -> aggregate({part}, struct(s as at, {empty} as out), (a, x) -> struct(a.at + x as at, concat(a.out, array(a.at + x)) as out), a -> a.out)))"))
+    found = F.expr("transform(_ends, (e, i) -> struct(_cut[2 * i + 1] as text, e - octet_length(_cut[2 * i + 1]) as col))")
+    return ends.select("path", "line_no", F.explode(found).alias("_w")).select("path", "line_no", "_w.col", "_w.text")
+
+
+def words(numbered: DataFrame, *, min_length: int = 3, model: KeyModel | None = None, skip_keys: bool = True, marker: str | None = None, skip_data_uris: bool = False, places: bool = False) -> DataFrame:
+    """path, line_no, text and case_kind of the words of the lines; places: also col, the place in bytes from 0.
 
     Lines go through column functions, but for those with a span that the key rule must look at, with directives or with long runs.
     """
     line = F.col("line")
-    hard = line.rlike(_LONG.pattern)
+    long = F.length(line) > 200
+    hard = long & line.rlike(_LONG.pattern)
     if skip_keys:
-        hard = hard | line.rlike("[A-Za-z0-9_/+=-]{201}") if model is None else line.rlike(CHANGES)
+        hard = hard | (long & line.rlike("[A-Za-z0-9_/+=-]{201}") if model is None else line.rlike(CHANGES))
     if marker is not None:
         hard = hard | line.contains(marker + ":")
-    # two groups are needed: the letter that is repeated, and the word
-    rx = re.sub(r"\(\?P<(?!r>|word>)\w+>", "(?:", pattern()).replace("(?P<", "(?<").replace("(?P=r)", r"\k<r>")
-    found = F.filter(F.regexp_extract_all("line", F.lit(rx), F.lit(2)), lambda w: F.octet_length(w) >= min_length)
-    easy = numbered.filter(~hard & line.rlike("[A-Za-z]")).select("path", "line_no", F.explode(found).alias("text"))
-    easy = easy.select("path", "line_no", "text", case_kind(F.col("text")).alias("case_kind"))
-    rest = scan_lines(numbered.filter(hard), min_length=min_length, model=model, skip_keys=skip_keys, marker=marker)
-    return easy.unionByName(rest.select("path", "line_no", "text", "case_kind"))
+    rx = _java(data_uris=skip_data_uris)
+    easy = numbered.filter(~hard & line.rlike("[A-Za-z]"))
+    if places:
+        easy = _with_places(easy, rx)
+    else:
+        easy = easy.select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(rx), F.lit(2))).alias("text"))
+    easy = easy.filter(F.octet_length("text") >= min_length)
+    columns = ["path", "line_no", *(["col"] if places else []), "text", "case_kind"]
+    easy = easy.withColumn("case_kind", case_kind(F.col("text"))).select(columns)
+    rest = scan_lines(numbered.filter(hard), min_length=min_length, model=model, skip_keys=skip_keys, marker=marker, skip_data_uris=skip_data_uris)
+    return easy.unionByName(rest.select(columns))

@@ -59,7 +59,10 @@ def test_words_are_those_of_the_scanner(spark):
     random.seed(12)
     rows = [("p", i, "".join(random.choices(PIECES, k=random.randint(1, 30)))) for i in range(3000)] + [("q", 0, "word " * 40_000), ("q", 1, ""), ("q", 2, None)]
     numbered = spark.createDataFrame(rows, "path string, line_no int, line string")
-    for options in ({}, {"marker": "mark"}, {"skip_keys": False}):
+    for options in ({}, {"marker": "mark"}, {"skip_keys": False}, {"skip_data_uris": True}):
+        placed = scan.words(numbered, places=True, **options)
+        assert Counter((r.line_no, r.col, r.text, r.case_kind) for r in placed.filter("path = 'p'").collect()) == Counter((n, len(line[:at].encode()), t, k) for _, n, line in rows[:3000] for at, t, k, _ in brute_scan.scan(line, **options))
+        assert placed.filter("path = 'q' and line_no = 0").agg(F.count("*"), F.max("col"), F.countDistinct("col")).first()[:] == (40_000, 5 * 39_999, 40_000)
         got = scan.words(numbered, **options)
         assert Counter((r.line_no, r.text, r.case_kind) for r in got.filter("path = 'p'").collect()) == Counter((n, t, k) for _, n, line in rows[:3000] for _, t, k, _ in brute_scan.scan(line, **options))
         assert got.filter("path = 'q'").count() == 40_000
