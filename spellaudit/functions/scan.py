@@ -205,18 +205,23 @@ def scan(line: str, *, min_length: int = 3, model: KeyModel | None = None, skip_
             yield m.start(), m.group(), "other", name
 
 
-def scan_lines(numbered: DataFrame, **options) -> DataFrame:
-    """path, line_no, col (bytes from 0), text, case_kind and kind for each word (skips=True: and each skip) of the lines."""
+def scan_lines(numbered: DataFrame, *, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """path, line_no, col (bytes from 0), text, case_kind and kind for each word (skips=True: and each skip) of the lines; ``keep``: columns that go along."""
+    kinds = dict(numbered.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for path, no, line in zip(frame["path"], frame["line_no"], frame["line"], strict=True):
-                ascii_only = line.isascii()
-                rows += [(path, no, at if ascii_only else len(line[:at].encode()), text, case, kind) for at, text, case, kind in scan(line, **options)]
-            yield pd.DataFrame(rows, columns=["path", "line_no", "col", "text", "case_kind", "kind"])
+            for path, no, line, *more in zip(frame["path"], frame["line_no"], frame["line"], *(frame[c] for c in keep), strict=True):
+                ascii_only, before, size = line.isascii(), 0, 0
+                for at, text, case, kind in scan(line, **options):
+                    # bytes since the last word, as a line may be long
+                    size += at - before if ascii_only else len(line[before:at].encode())
+                    before = at
+                    rows.append((path, no, size, text, case, kind, *more))
+            yield pd.DataFrame(rows, columns=["path", "line_no", "col", "text", "case_kind", "kind", *keep])
 
-    return numbered.select("path", "line_no", "line").filter("line rlike '[A-Za-z]'").mapInPandas(run, "path string, line_no int, col int, text string, case_kind string, kind string")
+    return numbered.select("path", "line_no", "line", *keep).filter("line rlike '[A-Za-z]'").mapInPandas(run, "path string, line_no int, col int, text string, case_kind string, kind string" + "".join(f", {c} {kinds[c]}" for c in keep))
 
 
 def case_kind(word: Column) -> Column:
@@ -232,7 +237,7 @@ def _java(**options) -> str:
     return re.sub(r"\(\?P<(?!r>|word>)\w+>", "(?:", pattern(**options)).replace("(?P<", "(?<").replace("(?P=r)", r"\k<r>")
 
 
-def _with_places(lines_: DataFrame, rx: str) -> DataFrame:
+def _with_places(lines_: DataFrame, rx: str, keep: tuple[str, ...]) -> DataFrame:
     """path, line_no, text and col (bytes from 0) of the words, by column functions.
 
     With what no rule takes as a last choice every character is in a match, and the matches make up the line. Each is written down
@@ -241,7 +246,7 @@ def _with_places(lines_: DataFrame, rx: str) -> DataFrame:
     """
     tiles = rx + r"|[^A-Za-z0-9%/#\\]++|[A-Z]"
     marked = F.replace(F.regexp_replace("line", F.lit(tiles), F.lit("$0\x00$2\x00")), F.lit("\x00\x00"), F.lit(""))
-    cut = lines_.select("path", "line_no", F.split(marked, "\x00").alias("_cut")).withColumn("_n", F.expr("size(_cut) div 2")).filter("_n > 0")
+    cut = lines_.select("path", "line_no", *keep, F.split(marked, "\x00").alias("_cut")).withColumn("_n", F.expr("size(_cut) div 2")).filter("_n > 0")
     sized = cut.withColumn("_sizes", F.expr("transform(sequence(0, _n - 1), i -> octet_length(_cut[2 * i]))"))
     part = f"slice(_sizes, {SUMMED} * c + 1, {SUMMED})"
     sums = sized.withColumn("_sums", F.expr(f"transform(sequence(0, (_n - 1) div {SUMMED}), c -> aggregate({part}, 0, (a, x) -> a + x))"))
@@ -249,11 +254,11 @@ def _with_places(lines_: DataFrame, rx: str) -> DataFrame:
     begun = sums.withColumn("_begun", F.expr(f"aggregate(_sums, struct(0 as at, {empty} as out), (a, x) -> struct(a.at + x as at, concat(a.out, array(a.at)) as out), a -> a.out)"))
     ends = begun.withColumn("_ends", F.expr(f"flatten(transform(_begun, (s, c) -> aggregate({part}, struct(s as at, {empty} as out), (a, x) -> struct(a.at + x as at, concat(a.out, array(a.at + x)) as out), a -> a.out)))"))
     found = F.expr("transform(_ends, (e, i) -> struct(_cut[2 * i + 1] as text, e - octet_length(_cut[2 * i + 1]) as col))")
-    return ends.select("path", "line_no", F.explode(found).alias("_w")).select("path", "line_no", "_w.col", "_w.text")
+    return ends.select("path", "line_no", *keep, F.explode(found).alias("_w")).select("path", "line_no", *keep, "_w.col", "_w.text")
 
 
-def words(numbered: DataFrame, *, min_length: int = 3, model: KeyModel | None = None, skip_keys: bool = True, marker: str | None = None, skip_data_uris: bool = False, places: bool = False) -> DataFrame:
-    """path, line_no, text and case_kind of the words of the lines; places: also col, the place in bytes from 0.
+def words(numbered: DataFrame, *, min_length: int = 3, model: KeyModel | None = None, skip_keys: bool = True, marker: str | None = None, skip_data_uris: bool = False, places: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, line_no, text and case_kind of the words of the lines; places: also col, the place in bytes from 0; ``keep``: columns that go along.
 
     Lines go through column functions, but for those with a span that the key rule must look at, with directives or with long runs.
     """
@@ -267,11 +272,11 @@ def words(numbered: DataFrame, *, min_length: int = 3, model: KeyModel | None =
     rx = _java(data_uris=skip_data_uris)
     easy = numbered.filter(~hard & line.rlike("[A-Za-z]"))
     if places:
-        easy = _with_places(easy, rx)
+        easy = _with_places(easy, rx, keep)
     else:
-        easy = easy.select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(rx), F.lit(2))).alias("text"))
+        easy = easy.select("path", "line_no", *keep, F.explode(F.regexp_extract_all("line", F.lit(rx), F.lit(2))).alias("text"))
     easy = easy.filter(F.octet_length("text") >= min_length)
-    columns = ["path", "line_no", *(["col"] if places else []), "text", "case_kind"]
+    columns = ["path", "line_no", *(["col"] if places else []), "text", "case_kind", *keep]
     easy = easy.withColumn("case_kind", case_kind(F.col("text"))).select(columns)
-    rest = scan_lines(numbered.filter(hard), min_length=min_length, model=model, skip_keys=skip_keys, marker=marker, skip_data_uris=skip_data_uris)
+    rest = scan_lines(numbered.filter(hard), min_length=min_length, model=model, skip_keys=skip_keys, marker=marker, skip_data_uris=skip_data_uris, keep=keep)
     return easy.unionByName(rest.select(columns))

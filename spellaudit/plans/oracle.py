@@ -125,7 +125,7 @@ SQL = {
       SELECT span, length, CAST(is_hex AS DOUBLE) AS hex, round(list_avg(al), 6) AS mean_alpha, round(list_var_pop(di), 6) AS variance_digit, round(CASE WHEN c > 0 THEN v / c ELSE v END, 6) AS vowel_ratio, alnum_chunks,
         round(abs(q / length - length / CASE WHEN is_hex THEN 16 WHEN is_low THEN 36 WHEN is_up THEN 36 ELSE 64 END), 6) AS difference_q FROM f""",
     "language_words": "SELECT DISTINCT word, wordlist FROM (SELECT trim(unnest(string_split(text, chr(10))), chr(13) || ' ') AS word, coalesce(lang, '-') AS wordlist FROM documents) WHERE word <> ''",
-    "corpus_misses": f"WITH RECURSIVE {LINES.replace('FROM documents', 'FROM documents UNION ALL SELECT chr(1) || item_id, text FROM benchmark')},{_WORDS}, known AS (SELECT norm FROM tokens WHERE NOT starts_with(path, chr(1)) GROUP BY 1 HAVING count(DISTINCT path) >= {LEAST_FILES} UNION SELECT norm FROM tokens WHERE starts_with(path, chr(1))) SELECT path, line_no, col, text, norm FROM tokens ANTI JOIN known USING (norm) WHERE NOT starts_with(path, chr(1)) AND {_KEPT}",
+    "corpus_misses": f"WITH RECURSIVE {LINES.replace('FROM documents', 'FROM documents UNION ALL SELECT chr(1) || item_id, text FROM benchmark')},{_WORDS}, known AS (SELECT norm FROM tokens WHERE NOT starts_with(path, chr(1)) GROUP BY 1 HAVING count(DISTINCT path) >= {LEAST_FILES} UNION SELECT norm FROM tokens WHERE starts_with(path, chr(1))) SELECT path, line_no, col, text, norm FROM tokens ANTI JOIN known USING (norm) WHERE NOT starts_with(path, chr(1))",
     "replaced_words": f"""WITH {MISSES}, fixes AS (SELECT path, line_no, CAST(chars AS BIGINT) AS spot, length(text) AS size, reverse(norm) AS new FROM misses WHERE length(norm) = 5 AND reverse(norm) <> text),
       cut AS (SELECT *, coalesce(lag(spot + size) OVER (PARTITION BY path, line_no ORDER BY spot), 0) AS since FROM fixes),
       done AS (SELECT path, line_no, string_agg(substr(line, since + 1, spot - since) || new, '' ORDER BY spot) || substr(line, max(spot + size) + 1) AS made FROM cut JOIN lines USING (path, line_no) GROUP BY path, line_no, line),

@@ -17,7 +17,7 @@ from spellaudit.operators import check, correct, directives, select, suggest
 from spellaudit.options import Options
 from spellaudit.plans import oracle
 from spellaudit.plans.oracle import LEAST_FILES, OFF, ON, ONE
-from spellaudit.sources.corpus import from_documents, lines, parse_words, stored
+from spellaudit.sources.corpus import from_documents, lines, parse_words, stored, tasks_for
 
 RULES = ("*.html", "/en/", "src1?", "de/src2/*.txt")
 
@@ -26,6 +26,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of the documents, spread over all cores."""
+    docs = _documents(spark, sf_dir)
+    return lines(docs, tasks=tasks_for(docs))
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     host = F.regexp_replace(F.regexp_replace("url", r"^https?://", ""), r"[?#].*$", "")
@@ -34,7 +40,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, norm and n: the words of all lines of the documents, by file."""
-    words = scan.words(lines(_documents(spark, sf_dir)))
+    words = scan.words(_lines(spark, sf_dir))
     return stored(words.groupBy("path", normalize(F.col("text")).alias("norm")).agg(F.count("*").alias("n")))
 
 
@@ -50,7 +56,7 @@ def _misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The misses of the documents with their places, and the lexicon."""
-    tokens = stored(scan.scan_lines(lines(_documents(spark, sf_dir))).drop("kind").withColumn("norm", normalize(F.col("text"))))
+    tokens = stored(scan.words(_lines(spark, sf_dir), places=True).withColumn("norm", normalize(F.col("text"))))
     lexicon = _lexicon(tokens.select("path", "norm").distinct())
     return check.misses(tokens, lexicon), lexicon
 
@@ -61,16 +67,16 @@ def line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_lines_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scanner's words of all lines."""
-    return scan.words(lines(_documents(spark, sf_dir))).groupBy("path", "line_no", "text").agg(F.count("*").alias("n"))
+    return scan.words(_lines(spark, sf_dir)).groupBy("path", "line_no", "text").agg(F.count("*").alias("n"))
 
 
 def word_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scanner's words of all lines with their places in bytes."""
-    return scan.scan_lines(lines(_documents(spark, sf_dir))).select("path", "line_no", "col", "text")
+    return scan.words(_lines(spark, sf_dir), places=True).select("path", "line_no", "col", "text")
 
 
 def normalized_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.words(lines(_documents(spark, sf_dir))).select(normalize(F.col("text")).alias("norm")).distinct()
+    return scan.words(_lines(spark, sf_dir)).select(normalize(F.col("text")).alias("norm")).distinct()
 
 
 def derived_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,12 +127,12 @@ def project_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole check of the documents: files by rules, lines by directives, the scanner's words against each file's lists and the project's."""
+    """The whole check of all documents: files by the default rules, lines by directives, the scanner's words against each file's lists and the project's."""
     corpus = _documents(spark, sf_dir)
     lexicon = _lexicon(_counted(spark, sf_dir)).select("word", F.lit("english").alias("wordlist"))
     project = scan.words(lines(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("path"), F.col("text").alias("content"))))
     lists = stored(lexicon.unionByName(project.select(normalize(F.col("text")).alias("word"), F.lit("*").alias("wordlist")).distinct()))
-    return check.check_corpus(corpus, lists, Options(more_excludes=RULES)).select("path", "line_no", "col", "text", "norm")
+    return check.check_corpus(corpus, lists, Options(), tasks=tasks_for(corpus)).select("path", "line_no", "col", "text", "norm")
 
 
 def _page_check(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -154,12 +160,12 @@ def page_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of the lines that need no scanner, by one short expression: a cross-check of the scanner."""
-    return plain_tokens(lines(_documents(spark, sf_dir))).groupBy("path", "line_no", "text").agg(F.count("*").alias("n"))
+    return plain_tokens(_lines(spark, sf_dir)).groupBy("path", "line_no", "text").agg(F.count("*").alias("n"))
 
 
 def scanned_plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scanner on the same lines gives the same words."""
-    found = scan.words(lines(_documents(spark, sf_dir)).filter(is_plain(F.col("line"))))
+    found = scan.words(_lines(spark, sf_dir).filter(is_plain(F.col("line"))))
     return found.groupBy("path", "line_no", "text").agg(F.count("*").alias("n"))
 
 
@@ -184,7 +190,7 @@ def file_wordlists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def directive_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return directives.gate(lines(_documents(spark, sf_dir)), "", disable=OFF, enable=ON, one=ONE)
+    return directives.gate(_lines(spark, sf_dir), "", disable=OFF, enable=ON, one=ONE)
 
 
 def key_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

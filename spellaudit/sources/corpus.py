@@ -39,9 +39,20 @@ def is_text() -> Column:
     return F.instr("content", "\x00") == 0
 
 
-def lines(corpus: DataFrame) -> DataFrame:
-    """path, line_no (from 1) and line; binary files give none."""
-    return corpus.filter(is_text()).select("path", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_no"), "line")
+def lines(corpus: DataFrame, *, tasks: int | None = None) -> DataFrame:
+    """path, line_no (from 1), line and the corpus' other columns; binary files give none.
+
+    ``tasks``: lines are dealt out to so many tasks, for a corpus of few or of large files, which few tasks would read.
+    """
+    more = [c for c in corpus.columns if c not in ("path", "content")]
+    numbered = corpus.filter(is_text()).select("path", *more, F.posexplode(F.split("content", "\n", -1)).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_no"), "line", *more)
+    return numbered.repartition(tasks) if tasks else numbered
+
+
+def tasks_for(corpus: DataFrame) -> int | None:
+    """The cluster's cores if fewer tasks would read the corpus, a scan; else None."""
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    return cores if corpus.rdd.getNumPartitions() < cores else None
 
 
 def parse_words(lists: DataFrame) -> DataFrame:
