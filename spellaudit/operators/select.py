@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,9 +62,49 @@ def ancestors(path: Column) -> Column:
     return F.when(F.size(split) > 1, F.transform(F.sequence(F.lit(1), F.size(split) - 1), lambda n: F.array_join(F.slice(split, 1, n), "/"))).otherwise(F.array().cast("array<string>"))
 
 
+def _glob(pattern: str, star: str, one: str) -> str:
+    return "".join(star if c == "*" else one if c == "?" else re.escape(c) for c in pattern)
+
+
+def folded(rules: list[str], *, folders: bool = False) -> Callable[[Column], Column]:
+    """What ``rule_match`` (folders: ``dir_match``) says for any of the rules, in one test of a path.
+
+    Plain names and endings are looked up in sets; all other rules are alternatives of one regular expression over the whole
+    path, those for the last part with a slash or the start before them.
+    """
+    names, endings, last, whole = set(), set(), [], []
+    for rule in rules:
+        rooted, rest = rule.startswith("/"), rule.removeprefix("/")
+        rest = rest.removesuffix("/") if folders else rest
+        if "/" in rest:
+            crossing = "**" in rest
+            whole.append(f".*{re.escape(rest)}.*" if crossing and rest.endswith("/") else _glob(rest, ".*" if crossing else "[^/]*", "."))
+        elif rooted:
+            whole.append(_glob(rest, ".*", "."))
+        elif not re.search("[*?]", rest):
+            names.add(rest)
+        elif re.fullmatch(r"\*\.[^*?.]+", rest):
+            endings.add(rest[2:])
+        else:
+            last.append(_glob(rest, "[^/]*", "[^/]"))
+            if folders:
+                whole.append(_glob(rest, ".*", "."))
+    either = [*(["(?:.*/)?(?:" + "|".join(last) + ")"] if last else []), *whole]
+
+    def test(path: Column) -> Column:
+        found, name = F.lit(False), basename(path)
+        if names:
+            found = found | name.isin(*sorted(names))
+        if endings:
+            found = found | (name.contains(".") & F.substring_index(name, ".", -1).isin(*sorted(endings)))
+        return found | path.rlike("(?s)^(?:" + "|".join(either) + ")$") if either else found
+
+    return test
+
+
 def excluded(path: Column, rules: list[str]) -> Column:
     """Whether root rules exclude a file or a folder above it."""
-    return any_of([rule_match(r, path) for r in rules]) | F.exists(ancestors(path), lambda d: any_of([dir_match(r, d) for r in rules]))
+    return folded(rules)(path) | F.exists(ancestors(path), folded(rules, folders=True))
 
 
 def _rule_rx() -> tuple[Column, Column]:
@@ -78,12 +119,15 @@ def _rule_rx() -> tuple[Column, Column]:
 
 def nested_excluded(files: DataFrame, rules: DataFrame) -> DataFrame:
     """The paths that rules (prefix, pattern) of a folder exclude, by an equality join on the folder."""
+    # a folder's rules are two expressions, for paths below it and for their last parts
     each = files.select("path", F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("tested"))
     under = each.select("path", "tested", F.explode(ancestors(F.col("tested"))).alias("folder")).withColumn("prefix", F.concat("folder", F.lit("/")))
     rx, on_path = _rule_rx()
-    made = rules.filter("prefix != ''").select("prefix", rx.alias("rx"), on_path.alias("on_path"))
-    rel = F.expr("substring(tested, length(prefix) + 1)")
-    hit = under.join(made, "prefix").filter(F.when(F.col("on_path"), F.expr("substring(tested, length(prefix) + 1) rlike rx")).otherwise(F.expr("substring_index(substring(tested, length(prefix) + 1), '/', -1) rlike rx")) & (rel != ""))
+    each_rule = rules.filter("prefix != ''").select("prefix", rx.alias("rx"), on_path.alias("on_path"))
+    joined = lambda on: F.array_join(F.sort_array(F.collect_set(F.when(F.col("on_path") == on, F.col("rx")))), "|")
+    made = each_rule.groupBy("prefix").agg(joined(True).alias("whole"), joined(False).alias("last"))
+    met = under.join(made, "prefix").withColumn("rel", F.expr("substring(tested, length(prefix) + 1)")).filter("rel != ''")
+    hit = met.filter("(whole != '' and rel rlike whole) or (last != '' and substring_index(rel, '/', -1) rlike last)")
     return hit.select("path").distinct()
 
 
@@ -97,10 +141,16 @@ def select_files(corpus: DataFrame, options: Options = Options(), *, rules: Data
     return kept if rules is None else kept.join(nested_excluded(kept.select("path"), rules), "path", "left_anti")
 
 
+def _named(globs: tuple[str, ...]) -> Callable[[Column], Column]:
+    """Whether a glob fits the path or its last part."""
+    plain = [g for g in globs if "/" not in g]
+    return lambda path: any_of([folded(plain, folders=True)(path), *(glob_match(g, basename(path)) | glob_match(g, path) for g in globs if "/" in g)])
+
+
 def wordlists(options: Options = Options()) -> Column:
     """The word lists of a file (path, content): English and its locales, languages by name or else by first line, the tool's terms."""
     path, content = F.col("path"), F.col("content")
-    by_name = F.array_compact(F.array(*(F.when(any_of([glob_match(g, basename(path)) | glob_match(g, path) for g in x.includes]), F.lit(x.name)) for x in options.languages)))
+    by_name = F.array_compact(F.array(*(F.when(_named(x.includes)(path), F.lit(x.name)) for x in options.languages)))
     first = F.substring_index(content, "\n", 1)
     by_bang = F.array_compact(F.array(*(F.when(F.startswith(content, F.lit("#!")) & any_of([first.contains(h) for h in x.hashbangs]), F.lit(x.name)) for x in options.languages)))
     fixed = ["english", *(f"english/{x}" for x in options.locales)]

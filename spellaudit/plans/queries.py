@@ -286,8 +286,8 @@ def close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            near = f[[similarity.edit_distance(a, b) <= 1 for a, b in zip(f["a"], f["b"], strict=True)]]
-            yield near.assign(jw=[round(similarity.jaro_winkler(a, b), 6) for a, b in zip(near["a"], near["b"], strict=True)])
+            f = f[similarity.edit_distances_of(list(zip(f["a"], f["b"], strict=True))) <= 1]
+            yield f.assign(jw=[round(x, 6) for x in similarity.jaro_winkler_of(list(zip(f["a"], f["b"], strict=True))).tolist()])
 
     return pairs.mapInPandas(run, "a string, b string, jw double")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +32,34 @@ def read_files(spark: SparkSession, path: str, *, missing_ok: bool = False) -> D
     return files.select(_below(path).alias("path"), F.col("value").alias("content"))
 
 
+#: Blocks of files whose numbers are broadcast, at most.
+BROADCAST_SPLITS = 1_000_000
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line_no and line as ``lines(read_files(...))`` gives them, of files of any size: a file is read in blocks, by many tasks.
+
+    A block's lines are numbered by its task; how many lines stand before it comes from a running sum of the blocks' counts,
+    which is all that is shuffled. A NUL in any block makes the file binary. A file's last line is empty if its bytes are those of
+    its lines with a line end each. Both passes read the files by the same plan.
+    """
+    below, start = _below(path), F.col("_metadata.file_block_start")
+    files = spark.read.text(path, recursiveFileLookup=True, lineSep="\n")
+    rows = files.select(below.alias("path"), start.alias("start"), F.col("_metadata.file_size").alias("bytes"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    blocks = rows.groupBy("path", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("size"), F.max(F.instr("line", "\x00")).alias("nul"), F.max("bytes").alias("bytes"))
+    order = Window.partitionBy("path").orderBy("start")
+    whole = Window.partitionBy("path")
+    counted = blocks.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("nul", F.max("nul").over(whole)).withColumn("all", F.sum("n").over(whole)).withColumn("size", F.sum("size").over(whole))
+    numbers = stored(counted.filter("nul = 0").select(F.col("path").alias("_path"), F.col("start").alias("_start"), "first", "before", "all", (F.col("size") == F.col("bytes")).alias("ended")))
+    few = numbers.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS
+    met = rows.join(F.broadcast(numbers) if few else numbers, (F.col("path") == F.col("_path")) & (F.col("start") == F.col("_start")))
+    numbered = met.select("path", (F.col("before") + F.col("id") - F.col("first") + 1).cast("int").alias("line_no"), "line")
+    last = numbers.filter("ended and before = 0").select(F.col("_path").alias("path"), (F.col("all") + 1).cast("int").alias("line_no"), F.lit("").alias("line"))
+    # files without a byte have one empty line and no row
+    empty = spark.read.format("binaryFile").load(path, recursiveFileLookup=True).filter("length = 0").select(_below(path).alias("path"), F.lit(1).alias("line_no"), F.lit("").alias("line"))
+    return numbered.unionByName(last).unionByName(empty)
+
+
 def from_documents(docs: DataFrame) -> DataFrame:
     """path (lang/source/id.txt) and content of a documents table."""
     return docs.select(F.concat_ws("/", F.coalesce("lang", F.lit("-")), F.coalesce("source", F.lit("-")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.col("text").alias("content"))
@@ -82,6 +113,54 @@ def write_corpus(corpus: DataFrame, path: str) -> None:
     corpus.select("path", "content").write.parquet(path)
 
 
+def _exists(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at the path, or no rows."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def update_corpus(corpus: DataFrame, path: str, *, parts: int = 256) -> int:
+    """Brings a written corpus (path, content, in ``parts`` by hash) up to date: only parts with a file that is new, changed or gone are written again. Returns their number.
+
+    Files are told by hashes of their contents, so of what has not changed nothing is shuffled. What is written is put aside first, as the parts are also read.
+    """
+    spark = corpus.sparkSession
+    part = F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int").alias("part")
+    told = lambda df: df.select("path", part, F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha"))
+    old = _exists(spark, path, "path string, content string, part int")
+    changed = stored(told(corpus).join(told(old).withColumnRenamed("sha", "was").drop("part").withColumnRenamed("path", "_path"), F.col("path") == F.col("_path"), "full").filter("sha is null or was is null or sha != was").select(F.pmod(F.xxhash64(F.coalesce("path", "_path")), F.lit(parts)).cast("int").alias("part")).distinct())
+    # there are no more than ``parts`` numbers
+    again = stored(corpus.select("path", "content", part).join(F.broadcast(changed), "part", "left_semi"))
+    again.write.partitionBy("part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    gone = [r.part for r in changed.join(again.select("part").distinct(), "part", "left_anti").collect()]
+    _drop(spark, path, [f"part={p}" for p in gone])
+    return changed.count()
+
+
+def update_lexicon(lexicon: DataFrame, path: str) -> list[str]:
+    """Brings a written lexicon up to date: only the lists that differ are written again. Returns their names, in order."""
+    spark = lexicon.sparkSession
+    lexicon = stored(lexicon.select("word", "wordlist").distinct())
+    # lists are told by the number and the sums of two hashes of their words
+    told = lambda df: df.groupBy("wordlist").agg(F.struct(F.count("*"), F.sum(F.xxhash64("word").cast("decimal(38,0)")), F.sum(F.hash("word").cast("long"))).alias("told"))
+    old = told(_exists(spark, path, "word string, wordlist string").distinct()).withColumnRenamed("told", "was")
+    both = told(lexicon).join(old, "wordlist", "full").filter("told is null or was is null or told != was").select("wordlist", F.col("told").isNull().alias("gone")).collect()
+    changed = [r.wordlist for r in both if not r.gone]
+    lexicon.filter(F.col("wordlist").isin(*changed)).write.partitionBy("wordlist").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    _drop(spark, path, [f"wordlist={quote(r.wordlist, safe='')}" for r in both if r.gone])
+    return sorted(r.wordlist for r in both)
+
+
+def _drop(spark: SparkSession, path: str, folders: list[str]) -> None:
+    for name in folders:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path, name)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_wordlist(words: DataFrame, path: str) -> None:
     """Distinct words in byte order, one a line, as one file."""
     words.select("word").distinct().orderBy("word").coalesce(1).write.text(path)
@@ -99,15 +178,26 @@ def ignore_rules(corpus: DataFrame) -> DataFrame:
     return each.select("prefix", "ord", F.trim("p", F.lit(" \t\r")).alias("pattern")).filter("pattern != '' and not startswith(pattern, '#') and not startswith(pattern, '!')")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder that all executors share and read back; where none is named, a temporary one of a local master alone."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; where none is named, a temporary one of a local master alone, which goes with the process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, *, name: str = "stored") -> DataFrame:
+    """``df`` written once to the shared folder and read back: later steps start from whole files, whatever executor is lost.
+
+    What is written is deleted when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
