@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spellaudit.sources.corpus import stored
+
 # The classes in their order, and the letters whose frequency counts.
 CLASSES = ("not_key_lower36", "not_key_base64", "not_key_hex", "not_key_upper36", "key_base64", "key_hex", "key_lower36", "key_upper36")
 LETTERS = "+-_/AzZqQXx"
@@ -84,13 +85,67 @@ def candidates(numbered: DataFrame) -> DataFrame:
 
 
 def feature_rows(spans: DataFrame) -> DataFrame:
-    """span and its features, each a column, for distinct spans."""
+    """span and features, an array, of distinct spans; by column functions, step by step so that nothing is worked out twice."""
+    span, n = F.col("span"), F.length("span").cast("double")
+    without = lambda signs: F.length(F.regexp_replace(span, signs, ""))
+    found = spans.select("span").distinct()
+    found = found.withColumn("_fits", F.array(*(span.rlike(f"\\A(?:{rx})\\z") for _, rx, _ in CHARSETS)))
+    for name, rx in CHUNKS.items():
+        found = found.withColumn(f"_{name}", F.transform(F.regexp_extract_all(span, F.lit(rx), F.lit(0)), lambda x: F.length(x).cast("double")))
+        found = found.withColumn(f"_mean_{name}", F.when(F.size(f"_{name}") > 0, F.aggregate(f"_{name}", F.lit(0.0), lambda a, x: a + x) / F.size(f"_{name}")).otherwise(0.0))
+    size = F.lit(None).cast("double")
+    for i in reversed(range(len(CHARSETS))):
+        size = F.when(F.col("_fits")[i], float(CHARSETS[i][2])).otherwise(size)
+    found = found.withColumn("_expected", F.coalesce(n / size, F.lit(0.0)))
+    # the share of a letter less the count that is expected: mixed on purpose
+    share = lambda c: (F.length(span) - F.length(F.replace(span, F.lit(c), F.lit("")))).cast("double") / n
+    found = found.withColumn("_differences", F.when(n > 0, F.array(*(F.abs(share(c) - F.col("_expected")) for c in LETTERS))).otherwise(F.array(*[F.lit(0.0)] * len(LETTERS))))
+
+    def variance(name: str) -> Column:
+        mean = F.col(f"_mean_{name}")
+        return F.when(F.size(f"_{name}") > 0, F.aggregate(f"_{name}", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(f"_{name}")).otherwise(0.0)
+
+    vowels, consonants = F.length(span) - without("[aeiouAEIOU]"), F.length(span) - without("[B-DF-HJ-NP-TV-WY-Zb-df-hj-np-tv-wy-z]")
+    spread = [x for name in ("lower", "upper", "alpha", "alnum", "digit") for x in (F.col(f"_mean_{name}"), variance(name))]
+    ratio = F.when(consonants > 0, vowels / consonants).otherwise(vowels)
+    rest = [F.length(span) - without("="), n, *(F.col("_fits")[i].cast("double") for i in range(len(CHARSETS))), F.col("_mean_title"), variance("title"), F.coalesce(F.array_max("_title"), F.lit(0.0)), *spread, ratio]
+    counts = [F.size(f"_{name}") for name in ("alpha", "alnum", "digit", "title")]
+    summed = [F.aggregate("_differences", F.lit(0.0), lambda a, x: a + x) / len(LETTERS), F.array_max("_differences")]
+    return found.select("span", F.concat("_differences", F.array(*(x.cast("double") for x in (*rest, *counts, *summed)))).alias("features"))
+
+
+#: Spans that are keys are sent to all tasks up to this number (200 characters each, at most).
+KNOWN = 200_000
+
+
+class KnownKeys:
+    """The spans of a corpus that are keys, as found by ``scanner_spans`` and ``classify``: a model for its scanner."""
+
+    def __init__(self, sent: Broadcast):
+        self.sent = sent
+
+    def is_key(self, span: str) -> bool:
+        return span in self.sent.value
+
+
+def scanner_spans(numbered: DataFrame) -> DataFrame:
+    """The distinct spans of 6 to 200 characters that the scanner may have to judge: the rest of a run from any of its letters and digits on."""
+    runs = numbered.select(F.explode(F.regexp_extract_all("line", F.lit("[A-Za-z0-9_/+-]++=*+(?![A-Za-z0-9])"), F.lit(0))).alias("run")).filter("length(run) >= 6").distinct()
+    last = F.length("run") - 5
+    ends = runs.select(F.explode(F.transform(F.sequence(F.greatest(F.lit(1), F.length("run") - 199), last), lambda i: F.substr("run", i))).alias("span")).distinct()
+    changes = F.regexp_replace("span", "[-_/+=]", "").rlike("[A-Za-z][0-9]+[A-Za-z]|[0-9][A-Za-z]+[0-9]")
+    return ends.filter(F.col("span").rlike("^[A-Za-z0-9]") & changes & (F.length(F.regexp_replace("span", "[^A-Za-z]", "")) >= 3))
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame([(s, features(s)) for s in frame["span"]], columns=["span", "features"])
+def for_scanner(numbered: DataFrame, params: DataFrame, weight: int = 5) -> KnownKeys | KeyModel:
+    """A model for the scanner of these lines: every span that it may meet is classed once, by joins, and it gets those that are keys.
 
-    return spans.select("span").distinct().mapInPandas(run, "span string, features array<double>")
+    If there are more than KNOWN, it gets the parameters instead and classes spans as it meets them.
+    """
+    spark = numbered.sparkSession
+    found = stored(classify(scanner_spans(numbered), params, weight).filter("is_key").select("span"))
+    some = [r.span for r in found.limit(KNOWN + 1).collect()]
+    return KnownKeys(spark.sparkContext.broadcast(frozenset(some))) if len(some) <= KNOWN else KeyModel.from_params(params, weight)
 
 
 def fit_params(labelled: DataFrame) -> DataFrame:

@@ -87,6 +87,10 @@ SPANS = f"{LINES}, runs AS (SELECT path, line_no, unnest(regexp_extract_all(line
 _RUNS = "|".join(c * 3 for c in _UPPER + _LOWER)
 _PLAIN = f"{LINES}, plain AS (SELECT * FROM lines WHERE regexp_full_match(line, '[A-Za-z ,.]*') AND NOT regexp_matches(line, '{_RUNS}|[A-Z]{{2}}|[aA][bB][cC]')), tokens AS (SELECT * FROM (SELECT path, line_no, unnest(regexp_extract_all(line, '[A-Z]?[a-z]+')) AS text FROM plain) WHERE length(text) >= 3)"
 
+#: Columns of the letters' differences, and the chunks of a span.
+FEATURE_NAMES = {"+": "plus", "-": "minus", "_": "underscore", "/": "slash", "A": "upper_a", "z": "lower_z", "Z": "upper_z", "q": "lower_q", "Q": "upper_q", "X": "upper_x", "x": "lower_x"}
+_CHUNKS = {"title": "[A-Z][a-z]+", "lower": "[a-z]+", "upper": "[A-Z]+", "alpha": "[A-Za-z]+", "alnum": "[A-Za-z0-9]+", "digit": "[0-9]+"}
+
 #: A step of the greedy matching of a's letters with b's free ones, the nearest first from the left; a letter taken is marked.
 _SPOT = "coalesce(list_filter(range(greatest(1, i - reach), least(length(b), i + reach) + 1), lambda j: substr(s.free, j, 1) = substr(a, i, 1))[1], 0)"
 _MATCHED = f"CASE WHEN {_SPOT} = 0 THEN s ELSE {{'free': left(s.free, {_SPOT} - 1) || chr(1) || substr(s.free, {_SPOT} + 1), 'found': s.found || substr(a, i, 1)}} END"
@@ -118,12 +122,15 @@ SQL = {
     "file_wordlists": f"WITH {PAGES} SELECT path, 'english,english/US' || CASE WHEN path LIKE '%.rb' THEN ',ruby,html' WHEN path LIKE '%.html' THEN ',html,javascript,xml' WHEN path LIKE '%.js' THEN ',html,javascript' WHEN path LIKE '%.css' THEN ',html,css' ELSE '' END || ',tool_terms' AS wordlists FROM pg",
     "directive_gate": f"WITH {LINES}, e AS (SELECT *, CASE WHEN contains(line, '{ON}') THEN 'E' WHEN contains(line, '{OFF}') AND NOT contains(line, '{ONE}') THEN 'D' END AS ev FROM lines), s AS (SELECT *, last_value(ev IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st FROM e) SELECT path, line_no, line FROM s WHERE coalesce(st, 'E') <> 'D' AND NOT contains(line, '{ONE}')",
     "key_candidates": f"WITH {SPANS} SELECT path, line_no, span FROM spans",
-    "key_features": f"""WITH {SPANS}, d AS (SELECT DISTINCT span FROM spans),
-      f AS (SELECT span, CAST(length(span) AS DOUBLE) AS length, regexp_full_match(span, '[0-9A-Fa-f-]*') AS is_hex, regexp_full_match(span, '[0-9a-z]*') AS is_low, regexp_full_match(span, '[0-9A-Z]*') AS is_up,
-        list_transform(regexp_extract_all(span, '[A-Za-z]+'), lambda x: length(x)) AS al, list_transform(regexp_extract_all(span, '[0-9]+'), lambda x: length(x)) AS di, length(regexp_replace(span, '[^aeiouAEIOU]', '', 'g')) AS v,
-        length(regexp_replace(span, '[^A-Za-z]|[aeiouAEIOUxX]', '', 'g')) AS c, CAST(len(regexp_extract_all(span, '[A-Za-z0-9]+')) AS DOUBLE) AS alnum_chunks, length(regexp_replace(span, '[^q]', '', 'g')) AS q FROM d)
-      SELECT span, length, CAST(is_hex AS DOUBLE) AS hex, round(list_avg(al), 6) AS mean_alpha, round(list_var_pop(di), 6) AS variance_digit, round(CASE WHEN c > 0 THEN v / c ELSE v END, 6) AS vowel_ratio, alnum_chunks,
-        round(abs(q / length - length / CASE WHEN is_hex THEN 16 WHEN is_low THEN 36 WHEN is_up THEN 36 ELSE 64 END), 6) AS difference_q FROM f""",
+    "key_features": f"""WITH {SPANS}, d AS (SELECT DISTINCT span, CAST(length(span) AS DOUBLE) AS length FROM spans),
+      f AS (SELECT *, regexp_full_match(span, '[0-9A-Fa-f-]*') AS hex, regexp_full_match(span, '[0-9a-z]*') AS lower36, regexp_full_match(span, '[0-9A-Z]*') AS upper36, regexp_full_match(span, '[A-Za-z0-9_+/=-]*') AS base64,
+        {", ".join(f"list_transform(regexp_extract_all(span, '{rx}'), lambda x: length(x)) AS s_{name}" for name, rx in _CHUNKS.items())},
+        length(regexp_replace(span, '[^aeiouAEIOU]', '', 'g')) AS v, length(regexp_replace(span, '[^A-Za-z]|[aeiouAEIOUxX]', '', 'g')) AS c FROM d),
+      e AS (SELECT *, CASE WHEN hex THEN length / 16 WHEN lower36 OR upper36 THEN length / 36 WHEN base64 THEN length / 64 ELSE 0 END AS expected FROM f),
+      g AS (SELECT *, [{", ".join(f"abs((length - length(replace(span, '{c}', ''))) / length - expected)" for c in FEATURE_NAMES)}] AS diffs FROM e)
+      SELECT span, {", ".join(f"round(diffs[{i}], 6) AS {name}" for i, name in enumerate(FEATURE_NAMES.values(), 1))}, length - length(replace(span, '=', '')) AS equal, length, CAST(hex AS DOUBLE) AS hex, CAST(lower36 AS DOUBLE) AS lower36, CAST(upper36 AS DOUBLE) AS upper36, CAST(base64 AS DOUBLE) AS base64,
+        {", ".join(f"round(coalesce(list_avg(s_{name}), 0), 6) AS mean_{name}, round(coalesce(list_var_pop(s_{name}), 0), 6) AS variance_{name}" for name in _CHUNKS)}, CAST(coalesce(list_max(s_title), 0) AS DOUBLE) AS max_title,
+        round(CASE WHEN c > 0 THEN v / c ELSE v END, 6) AS vowel_consonant_ratio, {", ".join(f"CAST(len(s_{name}) AS DOUBLE) AS {name}_chunks" for name in ("alpha", "alnum", "digit", "title"))}, round(list_sum(diffs) / {len(FEATURE_NAMES)}, 6) AS mean_difference, round(list_max(diffs), 6) AS max_difference FROM g""",
     "language_words": "SELECT DISTINCT word, wordlist FROM (SELECT trim(unnest(string_split(text, chr(10))), chr(13) || ' ') AS word, coalesce(lang, '-') AS wordlist FROM documents) WHERE word <> ''",
     "corpus_misses": f"WITH RECURSIVE {LINES.replace('FROM documents', 'FROM documents UNION ALL SELECT chr(1) || item_id, text FROM benchmark')},{_WORDS}, known AS (SELECT norm FROM tokens WHERE NOT starts_with(path, chr(1)) GROUP BY 1 HAVING count(DISTINCT path) >= {LEAST_FILES} UNION SELECT norm FROM tokens WHERE starts_with(path, chr(1))) SELECT path, line_no, col, text, norm FROM tokens ANTI JOIN known USING (norm) WHERE NOT starts_with(path, chr(1))",
     "replaced_words": f"""WITH {MISSES}, fixes AS (SELECT path, line_no, CAST(chars AS BIGINT) AS spot, length(text) AS size, reverse(norm) AS new FROM misses WHERE length(norm) = 5 AND reverse(norm) <> text),

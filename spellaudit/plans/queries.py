@@ -139,8 +139,9 @@ def _page_check(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """The misses of the pages as source files, with keys passed over, and the languages' lists: words of five pages or more of a list's files."""
     corpus, options = _pages(spark, sf_dir), Options()
     listed = select.select_files(corpus, options).select("path", F.explode(select.wordlists(options)).alias("wordlist"))
-    model = keys.KeyModel.from_params(_key_params(spark, sf_dir))
-    tokens = scan.words(directives.checked_lines(corpus, options.marker), model=model)
+    numbered = directives.checked_lines(corpus, options.marker)
+    model = keys.for_scanner(numbered, stored(_key_params(spark, sf_dir)))
+    tokens = scan.words(numbered, model=model)
     each = tokens.select("path", normalize(F.col("text")).alias("word")).distinct().join(listed.filter("wordlist not like 'english%'"), "path")
     lexicon = stored(each.groupBy("word", "wordlist").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_FILES).select("word", "wordlist"))
     return check.check_corpus(corpus, lexicon, options, model=model), lexicon
@@ -229,15 +230,16 @@ def key_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def key_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of the documents' spans."""
     found = keys.feature_rows(key_candidates(spark, sf_dir).select("span"))
-    at = {f: i for i, f in enumerate(keys.FEATURES)}
-    return found.select("span", *(F.round(F.col("features")[at[f]], 6).alias(name) for f, name in (("length", "length"), ("hex", "hex"), ("mean_alpha", "mean_alpha"), ("variance_digit", "variance_digit"), ("vowel_consonant_ratio", "vowel_ratio"), ("alnum_chunks", "alnum_chunks"), ("q", "difference_q"))))
+    return found.select("span", *(F.round(F.col("features")[i], 6).alias(oracle.FEATURE_NAMES.get(f, f)) for i, f in enumerate(keys.FEATURES)))
 
 
 def scanned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and what is passed over, by the scanner over all lines of pages: URLs, entities, tags and keys."""
-    model = keys.KeyModel.from_params(_key_params(spark, sf_dir))
-    return scan.scan_lines(lines(_pages(spark, sf_dir)), skips=True, model=model).groupBy("path", "kind", "case_kind").agg(F.count("*").alias("n"))
+    numbered = lines(_pages(spark, sf_dir))
+    model = keys.for_scanner(numbered, stored(_key_params(spark, sf_dir)))
+    return scan.scan_lines(numbered, skips=True, model=model).groupBy("path", "kind", "case_kind").agg(F.count("*").alias("n"))
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:

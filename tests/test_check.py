@@ -1,9 +1,13 @@
 """The check's parts on small tables: directives by blocks of lines, lexicons of any size, the written report."""
 
 import random
+import re
 
+import brute_scan
+import numpy as np
 import pytest
 
+from spellaudit.functions import keys, scan
 from spellaudit.operators import check, directives
 from spellaudit.options import Options
 from spellaudit.sources import corpus
@@ -72,3 +76,42 @@ def test_lines_keep_what_goes_along(spark):
         assert sorted(map(tuple, got.collect())) == [("p", 1, "a", 7), ("p", 2, "", 7), ("p", 3, "b\r", 7)]
     assert corpus.lines(files, tasks=5).rdd.getNumPartitions() == 5
     assert corpus.tasks_for(files.coalesce(1)) == spark.sparkContext.defaultParallelism
+
+
+def spans_of(n):
+    random.seed(n)
+    return ["".join(random.choices(["a", "b", "F", "zQ", "Xx", "1", "23", "_", "-", "/", "+", "="], k=random.randint(1, 14))) for _ in range(n)]
+
+
+def test_features_by_columns(spark):
+    some = sorted({*spans_of(400), "ab12CDx=", "é1a2", "", "deadbeef01", "ABC123", "TitleCase99Word"})
+    got = {r.span: r.features for r in keys.feature_rows(spark.createDataFrame([(s,) for s in some], "span string")).collect()}
+    assert got.keys() == set(some)
+    for s in some:
+        if s.isascii():
+            assert np.allclose(got[s], keys.features(s), rtol=1e-12, atol=1e-12), s
+
+
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_scanner_gets_the_keys_of_its_lines(spark, monkeypatch, most):
+    """Whatever the scanner asks of the model is among the spans that were classed before."""
+    monkeypatch.setattr(keys, "KNOWN", most)
+    random.seed(2)
+    lines = [" ".join(random.choices([*spans_of(60), "word", "http://a.b/c1d2e3f4", "ab1cd2ef3", "q" * 190 + "1a2b3c4d5e6f7a8b9c0"], k=4)) for _ in range(60)]
+    numbered = spark.createDataFrame([("p", i, x) for i, x in enumerate(lines)], "path string, line_no int, line string")
+    classes = [(random.choice(keys.CLASSES), keys.features(s)) for s in spans_of(300)]
+    params = keys.fit_params(spark.createDataFrame(classes, "class string, features array<double>"))
+    exact, asked = keys.KeyModel.from_params(params), []
+
+    class Asked:
+        def is_key(self, span):
+            asked.append(span)
+            return exact.is_key(span)
+
+    expected = {(i, at, t, kind) for i, x in enumerate(lines) for at, t, _, kind in brute_scan.scan(x, model=Asked(), skips=True)}
+    told = {r.span for r in keys.scanner_spans(numbered).collect()}
+    assert {s for s in asked if len(s) <= 200} <= told
+    model = keys.for_scanner(numbered, params)
+    assert isinstance(model, keys.KnownKeys) is (most > 3)
+    got = {(r.line_no, r.col, r.text, r.kind) for r in scan.scan_lines(numbered, model=model, skips=True).collect()}
+    assert got == expected and any(kind == "key" for *_, kind in got) and re.search("[0-9]", "".join(t for *_, t, kind in got if kind == "key"))
