@@ -11,7 +11,7 @@ every step does one merge in each. Longer pieces have a tree of their own. Resul
 bounded cache, as words repeat.
 
 Null text counts as empty; an empty text has no ids. Every byte has a rank, so nothing is unknown. Texts of any length
-are encoded whole. Repeated rows give repeated results; columns other than the id and the text are ignored.
+are encoded whole. Repeated rows give repeated results. Empty tables give empty results. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ sample the mean of the input area under it, from an integral image, so its cost
 ``difference_hash`` compares neighbours of a 9 x 8 resize. ``tile_bytes`` are the resized tile as an NPY file.
 
 Null text counts as empty, and an empty payload is all padding. Payloads of any length are stored whole. Equal texts
-give equal values in every column. Columns other than the id and the text are ignored.
+give equal values in every column, so repeated rows repeat their results. Empty tables give empty results. Columns other than the id and the
+text are ignored.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ A document's set holds the hashes of its distinct five-word shingles (of fewer w
 Documents of equal sets are stored once. In each of ``trees`` independent trees a document goes, level by level, to the
 branch of its minwise token under that level's hash, so documents of similarity s stay together with probability s a
 level. A node of one document ends. In a node of up to ``small`` documents all are compared. Larger nodes branch on, down
-to ``depth``. Two documents of similarity 0.85 meet with probability 1 - (1 - 0.85**depth)**trees at least: 0.9999 for
-the defaults, nearly 1 where nodes are small early.
+to ``depth``. Two documents of similarity s that stay in small nodes meet with probability 1 - (1 - s**depth)**trees at least: 0.9999 at 0.85
+with the defaults. Nodes that are large there branch on ``AGAIN`` times by hashes that all trees share, so a pair that meets in such nodes alone
+meets once more with 1 - (1 - s**DEEPER)**AGAIN at least, 0.98 at 0.85 and 0.94 at 0.8; what is large even then is compared whole.
 
 Pairs that cannot be similar are left out within the joins: a document also carries, for each of 1,024 buckets, whether
 it has an odd number of hashes there. Each bucket in which two documents differ takes a hash that one of them alone has,

@@ -188,6 +188,61 @@ def test_chat(spark):
     assert json.loads(got["a"].record)["result"] == "li\nne"
 
 
+NESTED = {"q": "string", "mode": ("fast", "full", 3), "tags": ["string"], "where?": {"lat": "number", "names": [{"first": "string", "last?": "string"}]}, "n": "integer?"}
+
+
+def fits(value, schema):
+    if isinstance(schema, str):
+        kinds = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,)}[schema.rstrip("?")]
+        return isinstance(value, kinds) and (isinstance(value, bool) is (schema.rstrip("?") == "boolean"))
+    if isinstance(schema, tuple):
+        return any(type(value) is type(x) and value == x for x in schema)
+    if isinstance(schema, list):
+        return isinstance(value, list) and all(fits(x, schema[0]) for x in value)
+    names = {k.removesuffix("?"): (k.endswith("?") or isinstance(of, str) and of.endswith("?"), of) for k, of in schema.items()}
+    return isinstance(value, dict) and value.keys() <= names.keys() and all(fits(value[k], of) if k in value else may for k, (may, of) in names.items())
+
+
+def test_nested_schemas(spark):
+    random.seed(4)
+    good = {"q": "x", "mode": "fast", "tags": ["a", "b"], "where": {"lat": 1.5, "names": [{"first": "f"}, {"first": "f", "last": "l"}]}, "n": 4}
+    values = [good, {k: v for k, v in good.items() if k not in ("where", "n")}, [], "x", 1, None, {}]
+    parts = ["x", 3, 3.5, True, None, [], ["a"], [1], {}, "full", "slow", {"lat": 2, "names": []}, {"lat": "2", "names": []}, {"lat": 2, "names": [{}]}, {"lat": 2, "names": [{"first": 1}]}, {"lat": 2, "names": [{"first": "a", "more": 1}]}]
+    values += [good | {k: v} for k in (*good, "more") for v in parts] + [{k: v for k, v in good.items() if k != gone} for gone in good]
+    calls = spark.createDataFrame([(1, str(i), None, "f", json.dumps(v)) for i, v in enumerate(values)], "conv_id long, call_id string, after string, name string, arguments string")
+    none = spark.createDataFrame([], "conv_id long, call_id string, content string")
+    got = {int(r.call_id): r.valid for r in chat.link_calls(calls, none, {"f": NESTED}).collect()}
+    assert got == {i: fits(v, NESTED) for i, v in enumerate(values)} and sum(got.values()) > 10
+
+
+def test_calls_after_several(spark):
+    random.seed(6)
+    rows, expected = [], {}
+    for conv in range(12):
+        n = random.randint(1, 14)
+        before = {i: sorted({random.randrange(n + 2) if random.random() < 0.15 else random.randrange(max(1, i)) for _ in range(random.randint(0, 3))}) for i in range(n)}
+
+        def rank(i, seen=()):
+            """The longest way; None on a cycle or after one."""
+            if i in seen:
+                return None
+            ways = [rank(j, (*seen, i)) for j in before[i] if j in before]  # noqa: B023
+            return None if None in ways else 1 + max(ways, default=-1)
+
+        for i in range(n):
+            rows.append((conv, f"c{i}", [f"c{j}" for j in before[i]] + [None], "f", "{}"))
+            found = rank(i)
+            expected[conv, f"c{i}"] = -1 if found is None else found
+    rows += [(99, "x", None, "f", "{}"), (None, "x", ["y"], "f", "{}"), (99, None, [], "f", "{}")]
+    calls = spark.createDataFrame(rows + rows[:5], "conv_id long, call_id string, after array<string>, name string, arguments string")
+    none = spark.createDataFrame([], "conv_id long, call_id string, content string")
+    got = chat.link_calls(calls, none, {"f": {}}).collect()
+    assert {(r.conv_id, r.call_id): r["rank"] for r in got} == expected | {(99, "x"): 0} and len(got) == len(expected) + 1
+    assert -1 in expected.values() and max(expected.values()) > 2
+    assert all(json.loads(r.record)["after"] is None or isinstance(json.loads(r.record)["after"], list) for r in got)
+    assert chat.link_calls(calls.limit(0), none, {}).isEmpty()
+
+
 def test_sharding(spark, docs):
     shards = [f"s{i}" for i in range(7)]
     table = sharding.fill(shards, 1009)
