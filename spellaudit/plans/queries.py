@@ -243,8 +243,12 @@ def scanned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, lexicon = _places(spark, sf_dir)
-    return suggest.suggestions(found.select("norm", "case_kind").distinct(), lexicon).select("norm", "case_kind", F.array_join("suggestions", ",").alias("suggestions"))
+    """Suggestions for every unknown word of the documents, in each of its cases."""
+    words = scan.words(_lines(spark, sf_dir)).withColumn("norm", normalize(F.col("text")))
+    counted = stored(words.groupBy("path", "norm", "case_kind").agg(F.count("*").alias("n")))
+    lexicon = _lexicon(counted.select("path", "norm").distinct())
+    found = stored(check.misses(counted, lexicon).select("norm", "case_kind").distinct())
+    return suggest.suggestions(found, lexicon).select("norm", "case_kind", F.array_join("suggestions", ",").alias("suggestions"))
 
 
 def autocorrected(spark: SparkSession, sf_dir: str) -> DataFrame:
