@@ -229,7 +229,7 @@ def case_kind(word: Column) -> Column:
 
 
 #: Words between whose places sums are taken one by one; from then on sums of so many words are added up.
-SUMMED = 128
+SUMMED = 32
 
 
 def _java(**options) -> str:
