@@ -197,3 +197,10 @@ def test_calls_of_turns(spark):
         answers |= {(c, f"call-{k - 1}", text) for k, (role, text) in t.items() if role == "assistant"}
     assert {(r.conv_id, r.call_id, r.after, r.name) for r in calls.collect()} == expected
     assert {tuple(r) for r in results.select("conv_id", "call_id", "content").collect()} == answers
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.isEmpty()
