@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spellaudit.sources.corpus import stored
+
 #: ASCII letters, for lower-casing that leaves all other letters as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 #: Rows of a batch that goes to Python, where the session does not say: rows are whole texts, and a batch is held several times over.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
@@ -30,23 +27,9 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; where none is named, a temporary one of a local master alone."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, *, name: str = "step") -> DataFrame:
     """``df`` written once to the shared folder and read back: later steps start from whole files, whatever executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name=name)
 
 
 def values(*columns: pa.Array, at_once: int = 256) -> Iterator:
