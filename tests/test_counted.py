@@ -1,0 +1,48 @@
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+from test_all_lines import PIECES
+
+from spellaudit.functions import scan
+from spellaudit.functions.words import normalize
+from spellaudit.plans import queries
+
+
+@pytest.mark.parametrize("options", [{}, {"marker": "mark", "skip_data_uris": True}, {"min_length": 5}, {"skip_keys": False}, {"model": "odd"}], ids=str)
+def test_words_counted_by_pieces_are_the_scanners(spark, options, monkeypatch):
+    """Whole files and lines, also where little is counted at once or remembered."""
+    class Odd:
+        def is_key(self, span):
+            return len(span) % 2 == 1
+
+    options = options | ({"model": Odd()} if "model" in options else {})
+    monkeypatch.setattr(scan, "COUNTED_BYTES", 300)
+    monkeypatch.setattr(scan, "KNOWN_PIECES", 20)
+    random.seed(5)
+    sign = lambda: random.choice([*PIECES, "\t", "\r", "\x0b", " ", " the", " The, ", " kitchen. ", "\n", " "])
+    texts = ["".join(sign() for _ in range(random.randint(0, 60))) for _ in range(400)] + [None, "", "the The THE\nthe"]
+    found = [[(text, case) for line in (t or "").split("\n") for _, text, case, _ in scan.scan(line, **options)] for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    got = Counter({(r.id, r.text): r.n for r in scan.counted_words(docs, ("id",), "content", exact=True, **options).collect()})
+    assert got == Counter((i, text) for i, words in enumerate(found) for text, _ in words)
+    norms = {r.text: r.norm for r in spark.createDataFrame([(t,) for t in {t for w in found for t, _ in w}], "text string").select("text", normalize(F.col("text")).alias("norm")).collect()}
+    by_norm, cases = Counter(), {}
+    for i, words in enumerate(found):
+        for text, case in words:
+            by_norm[i, norms[text]] += 1
+            cases[i, norms[text]] = cases.get((i, norms[text]), 0) | scan.CASES[case]
+    rows = scan.counted_words(docs, ("id",), "content", **options).collect()
+    assert Counter({(r.id, r.norm): r.n for r in rows}) == by_norm and {(r.id, r.norm): r.cases for r in rows} == cases and len(rows) == len(by_norm)
+
+
+def test_counting_shuffles_no_lines(spark, tmp_path):
+    """Files' words are counted where the files are read; rows of one path are one file."""
+    rows = [(1, "the kitchen", "en", "web"), (1, "the table", "en", "web"), (2, "the", "en", "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.path, r.norm, r.n) for r in queries._counted(spark, str(tmp_path)).collect()} == {("en/web/1.txt", "the", 2), ("en/web/1.txt", "kitchen", 1), ("en/web/1.txt", "table", 1), ("en/web/2.txt", "the", 1)}
+    assert {(r.path, r.line_no, r.text, r.n) for r in queries.all_lines_words(spark, str(tmp_path)).collect()} >= {("en/web/1.txt", 1, "the", 2)}
+    docs = spark.range(100, numPartitions=8).select(F.col("id").cast("string").alias("path"), F.lit("the kitchen the").alias("content"))
+    plan = queries._by_file(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
