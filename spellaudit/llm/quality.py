@@ -160,7 +160,10 @@ def logistic(found: Sparse, q: np.ndarray, *, rounds: int = 80, rate: float = 0.
 
 
 def best_bias(sums: np.ndarray, q: np.ndarray, bias: float) -> float:
-    """The bias under which the signs agree with most posterior weight: of equally good ones the middle of the widest gap; as it was if one side has none."""
+    """The bias under which the signs agree with most posterior weight: of equally good ones the middle of the widest gap; as it was if one side has none.
+
+    No bias parts equal sums, as copies with unlike posteriors have, so only cuts between unlike ones count.
+    """
     if not len(q) or not (q > 0.5).any() or (q > 0.5).all():
         return bias
     order = np.argsort(sums, kind="stable")
@@ -168,7 +171,7 @@ def best_bias(sums: np.ndarray, q: np.ndarray, bias: float) -> float:
     # right if all before the cut are called sound and all from it on faulty
     right = np.concatenate([[0.0], np.cumsum(1 - y)]) + np.concatenate([np.cumsum(y[::-1])[::-1], [0.0]])
     gap = np.diff(np.concatenate([[s[0] - 1], s, [s[-1] + 1]]))
-    cut = max(np.flatnonzero((right >= right.max() - 1e-9) & (gap > 0)), key=lambda i: (gap[i], -i))
+    cut = max(np.flatnonzero((right >= right[gap > 0].max() - 1e-9) & (gap > 0)), key=lambda i: (gap[i], -i))
     low = s[cut - 1] if cut else s[0] - 1
     return -float(low + gap[cut] / 2)
 
